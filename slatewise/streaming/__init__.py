@@ -1,0 +1 @@
+"""Intentionally empty: the capability set covered here is batch only (see README)."""
