@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import frames  # noqa: F401
+from catalog import columns, frames, tables  # noqa: F401

@@ -36,7 +36,8 @@ def _(s):
 
 
 @query("src_4_behaviors_padded_history", """
-select impression_id, array_to_string(list_concat([0,0,0,0,0], articles)[-5:], ',') as history
+select impression_id,
+       case when articles is not null then array_to_string(list_concat([0,0,0,0,0], articles)[-5:], ',') end as history
 from br_behaviors left join br_history using (user_id)""")
 def _(s):
     df = tables.behaviors_with_history(s.impressions(), s.histories(5), 5, 0)
@@ -44,7 +45,7 @@ def _(s):
 
 
 @query("src_5_feature_history_tails", """
-select impression_id, array_to_string(articles[-3:], ',') as history, round(list_avg(reads[-3:]), 6) as mean_read_time
+select impression_id, array_to_string(articles[-3:], ',') as history, round(list_avg(br_history.reads[-3:]), 6) as mean_read_time
 from br_behaviors left join br_history using (user_id)""")
 def _(s):
     df = tables.behaviors_with_feature_history(s.impressions(), s.histories(30), 3)
@@ -217,7 +218,7 @@ def _(s):
 
 
 @query("jn_1_behaviors_history", """
-select impression_id, least(len(articles), 30)::bigint as history_len, articles[-1] as last_article
+select impression_id, case when len(articles) > 30 then 30 else len(articles) end::bigint as history_len, articles[-1] as last_article
 from br_behaviors left join br_history using (user_id)""")
 def _(s):
     df = s.impressions().join(s.histories(30), S.USER, "left")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from slatewise import schema as S
 from slatewise.functions import scalars
@@ -36,17 +37,15 @@ def nearest_quantile(df: DataFrame, column: str, q: float) -> Column:
 
     Equal values are counted together first, then the cumulative counts decide.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.agg(F.sum("n")).first()[0] or 0
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__times"))
+    rows = counts.agg(F.sum("__times")).first()[0] or 0
     target = math.floor(q * (rows - 1) + 0.5) + 1
-    ordered = running_sum(counts, [column], "n", "upto")
-    return ordered.filter(F.col("upto") >= target).select(F.min(column)).scalar()
+    ordered = running_sum(counts, [column], "__times", "__upto")
+    return ordered.filter(F.col("__upto") >= target).select(F.min(column)).scalar()
 
 
 def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
     """Inclusive running sum of a whole table in a unique order, without a one-partition window."""
-    from pyspark.sql.window import Window as W
-
     numbered = global_row_number(df, list(order), "__rn", start=0)
     block = F.floor(F.col("__rn") / 10_000)
     blocked = numbered.withColumn("__block", block)

@@ -59,22 +59,22 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], name: str =
     placed = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("__slot", F.monotonically_increasing_id())
+        .withColumn("__place", F.monotonically_increasing_id())
         .checkpoint()
     )
-    part = F.shiftright("__slot", _SLOT_BITS)
+    part = F.shiftright("__place", _SLOT_BITS)
     # one row per partition, so this window and the broadcast are small whatever the table size
     before = F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
     offsets = (
         placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
         .select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
     )
-    slot = F.col("__slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
+    place = F.col("__place").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
     return (
         placed.withColumn("__part", part)
         .join(F.broadcast(offsets), "__part")
-        .withColumn(name, F.col("__before") + slot + F.lit(start))
-        .drop("__part", "__before", "__slot")
+        .withColumn(name, F.col("__before") + place + F.lit(start))
+        .drop("__part", "__before", "__place")
     )
 
 
