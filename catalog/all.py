@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import columns, frames, tables  # noqa: F401
+from catalog import beyond, columns, frames, models, tables  # noqa: F401
