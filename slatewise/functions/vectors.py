@@ -28,8 +28,12 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     """The vector scaled to length one; a zero vector stays zero."""
-    size = norm(a)
-    return F.transform(_c(a), lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)))
+    c = _c(a)
+    # the one-element array holds the norm, so it is computed once and not per element
+    scaled = F.transform(
+        F.array(norm(c)),
+        lambda size: F.transform(c, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0))))
+    return F.element_at(scaled, 1)
 
 
 def distance(kind: str, a: Column, b: Column) -> Column:
@@ -44,10 +48,15 @@ def distance(kind: str, a: Column, b: Column) -> Column:
     raise ValueError(f"unknown distance {kind!r}")
 
 
-def mean_vector(a: Column | str) -> Column:
-    """Element-wise mean as an aggregate; partial sums are combined before the shuffle."""
-    return vector_to_array(Summarizer.mean(array_to_vector(_c(a).cast("array<double>"))))
+def dense(a: Column | str) -> Column:
+    """An array as an ML vector; do this on the item table, before vectors are repeated by a join."""
+    return array_to_vector(_c(a).cast("array<double>"))
 
 
-def sum_vector(a: Column | str) -> Column:
-    return vector_to_array(Summarizer.sum(array_to_vector(_c(a).cast("array<double>"))))
+def mean_of(vector: Column | str) -> Column:
+    """Element-wise mean of ML vectors as an aggregate; partial sums are combined before the shuffle."""
+    return vector_to_array(Summarizer.mean(_c(vector)))
+
+
+def sum_of(vector: Column | str) -> Column:
+    return vector_to_array(Summarizer.sum(_c(vector)))

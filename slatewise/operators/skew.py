@@ -28,7 +28,13 @@ _SLOT_BITS = 33  # monotonically_increasing_id keeps the row's slot in its low 3
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The keys holding too many rows for one task, or ``None``; always fewer than HOT_SHARE rows."""
+    """The keys holding too many rows for one task, or ``None``; always fewer than HOT_SHARE rows.
+
+    Best called on a base table: its row count then comes from the file footers, and a table no
+    larger than the limit needs no further look.
+    """
+    if df.count() <= min_rows:
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total, biggest = counts.agg(F.sum("n"), F.max("n")).first()
     floor = max(min_rows, (total or 0) // HOT_SHARE)
@@ -116,6 +122,8 @@ def top_n_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 
 def require_group_bound(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> None:
     """Refuse to build list cells longer than ``limit``; the long-form operators have no bound."""
+    if df.count() <= limit:
+        return
     biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     if biggest and biggest > limit:
         raise ValueError(f"a list over {', '.join(keys)} would hold {biggest} elements (limit {limit}); "

@@ -33,17 +33,22 @@ def intralist_diversity(recs: DataFrame, attributes: DataFrame, vector: str = "e
     For the cosine, with unit vectors u, the pairwise sum is n(n-1) + m - |sum u|^2 over n items of
     which m are non-zero: one vector sum per list and no pairs.
     """
-    rows = _with_attribute(recs, attributes, vector, keys).withColumn(vector, F.col(vector).cast("array<double>"))
+    require_columns(attributes, [ITEM, vector])
     if distance != "cosine":
+        rows = _with_attribute(recs, attributes, vector, keys)
         return _pairwise_diversity(rows, vector, keys, distance)
+    # vectors are scaled on the item table, before they are repeated per list
+    units = attributes.filter(F.col(vector).isNotNull()).select(
+        ITEM, vectors.dense(vectors.unit(vector)).alias("__u"), (vectors.norm(vector) > 0).alias("__some"))
     n, m = F.col("__n").cast("double"), F.col("__m").cast("double")
-    units = rows.withColumn("__u", vectors.unit(vector))
-    sums = units.groupBy(*keys).agg(
-        F.count("__u").alias("__n"), F.count_if(vectors.norm(vector) > 0).alias("__m"),
-        vectors.sum_vector("__u").alias("__sum"))
+    sums = recs.select(*keys, ITEM).join(units, ITEM).groupBy(*keys).agg(
+        F.count("__u").alias("__n"), F.count_if("__some").alias("__m"), vectors.sum_of("__u").alias("__sum"))
     pairs = n * (n - 1)
     value = F.when(n > 1, F.try_divide(pairs + m - vectors.dot("__sum", "__sum"), pairs))
-    return sums.select(*keys, value.alias("diversity"))
+    known = sums.select(*keys, value.alias("diversity"))
+    if not keys:
+        return known
+    return recs.select(*keys).distinct().join(known, list(keys), "left")  # lists of unknown items stay, as null
 
 
 def _pairwise_diversity(rows: DataFrame, vector: str, keys: Sequence[str], distance: str) -> DataFrame:
@@ -155,9 +160,10 @@ def candidate_novelty(candidates: DataFrame, attributes: DataFrame, name: str, n
 def mean_unit(rows: DataFrame, attributes: DataFrame, vector: str, keys: Sequence[str], name: str) -> DataFrame:
     """Mean unit vector of each group's known items."""
     require_columns(attributes, [ITEM, vector])
-    units = attributes.select(ITEM, vectors.unit(vector).alias("__u"))
+    units = attributes.filter(F.col(vector).isNotNull()).select(
+        ITEM, vectors.dense(vectors.unit(vector)).alias("__u"))
     joined = rows.select(*keys, ITEM).join(units, ITEM)
-    return joined.groupBy(*keys).agg(vectors.mean_vector("__u").alias(name))
+    return joined.groupBy(*keys).agg(vectors.mean_of("__u").alias(name))
 
 
 def serendipity(recs: DataFrame, history: DataFrame, attributes: DataFrame, vector: str = "embedding",
@@ -184,32 +190,46 @@ def report(baselines: Mapping[str, DataFrame], attributes: DataFrame, history: D
     default each list belongs to the reader of the same id.
     """
     keys = ["baseline", LIST]
-    every = None
+    every = pairs = None
     for name, recs in baselines.items():
         part = recs.select(F.lit(name).alias("baseline"), F.col(LIST).cast("long").alias(LIST), ITEM)
-        every = part if every is None else every.unionByName(part)
-    pairs = None
-    for name, recs in baselines.items():
         own = (readers or {}).get(name)
         if own is None:
-            own = recs.select(F.col(LIST).cast("long").alias(LIST), F.col(LIST).cast("long").alias("reader")).distinct()
-        part = own.select(F.lit(name).alias("baseline"), F.col(LIST).cast("long").alias(LIST), "reader")
-        pairs = part if pairs is None else pairs.unionByName(part)
-
-    def tidy(df: DataFrame, metric: str) -> DataFrame:
-        return df.groupBy("baseline").agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std")).select(
-            "baseline", F.lit(metric).alias("metric"), "mean", "std")
-
-    left = mean_unit(every, attributes, vector, keys, "__r")
-    right = mean_unit(history, attributes, vector, ["reader"], "__h")
-    surprise = pairs.join(left, keys, "left").join(right, "reader", "left").select(
-        "baseline", (1 - vectors.dot("__r", "__h")).alias("serendipity"))
+            own = recs.select(LIST, F.col(LIST).alias("reader")).distinct()
+        owned = own.select(F.lit(name).alias("baseline"), F.col(LIST).cast("long").alias(LIST),
+                           F.col("reader").cast("long").alias("reader"))
+        every = part if every is None else every.unionByName(part)
+        pairs = owned if pairs is None else pairs.unionByName(owned)
+
+    # every per-list number comes from one join with the item table and one aggregate
+    require_columns(attributes, [ITEM, vector, popularity, sentiment_col])
+    # (lists without a known item have no values and drop out here)
+    items = attributes.filter(F.col(vector).isNotNull()).select(
+        ITEM, vectors.dense(vectors.unit(vector)).alias("__u"), (vectors.norm(vector) > 0).alias("__some"),
+        F.col(sentiment_col).alias("__sentiment"), scalars.self_information(popularity).alias("__info"))
+    per_list = every.join(items, ITEM).groupBy(*keys).agg(
+        F.count("__u").cast("double").alias("__n"), F.count_if("__some").cast("double").alias("__m"),
+        vectors.sum_of("__u").alias("__sum"), F.avg("__sentiment").alias("sentiment"), F.avg("__info").alias("novelty"))
+    n, possible = F.col("__n"), F.col("__n") * (F.col("__n") - 1)
+    spread = possible + F.col("__m") - vectors.dot("__sum", "__sum")
+    per_list = per_list.withColumn("diversity", F.when(n > 1, F.try_divide(spread, possible)))
+
+    read = history.select("reader", ITEM).join(items.select(ITEM, "__u"), ITEM)
+    means = read.groupBy("reader").agg(vectors.mean_of("__u").alias("__h"))
+    closeness = F.try_divide(vectors.dot("__sum", "__h"), n)
+    surprise = pairs.join(per_list.select(*keys, "__n", "__sum"), keys, "left").join(means, "reader", "left").select(
+        "baseline", (1 - closeness).alias("serendipity"))
     cover = coverage(every, attributes, ["baseline"])
-    out = tidy(intralist_diversity(every, attributes, vector, keys), "diversity")
-    out = out.unionByName(tidy(sentiment(every, attributes, sentiment_col, keys), "sentiment"))
-    out = out.unionByName(tidy(novelty(every, attributes, popularity, keys), "novelty"))
-    out = out.unionByName(tidy(surprise, "serendipity"))
-    for metric in ("coverage_count", "coverage_fraction"):
-        out = out.unionByName(cover.select("baseline", F.lit(metric).alias("metric"),
-                                           F.col(metric).cast("double").alias("mean"), F.lit(0.0).alias("std")))
-    return out
+
+    def summary(df: DataFrame, names: Sequence[str]) -> DataFrame:
+        stats = [f(c).alias(f"{c}_{k}") for c in names for k, f in (("mean", F.avg), ("std", F.stddev_pop))]
+        rows = F.explode(F.array(*[
+            F.struct(F.lit(c).alias("metric"), F.col(f"{c}_mean").alias("mean"), F.col(f"{c}_std").alias("std"))
+            for c in names]))
+        return df.groupBy("baseline").agg(*stats).select("baseline", rows.alias("r")).select("baseline", "r.*")
+
+    counts = cover.select("baseline", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("mean"), F.lit(0.0).alias("std"))
+        for c in ("coverage_count", "coverage_fraction")])).alias("r")).select("baseline", "r.*")
+    return (summary(per_list, ["diversity", "sentiment", "novelty"])
+            .unionByName(summary(surprise, ["serendipity"])).unionByName(counts))

@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", app: str = "slatewise", **conf: str) -
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "localhost")
     )
     for key, value in conf.items():

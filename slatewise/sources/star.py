@@ -6,8 +6,6 @@ view, and a returned line (flag ``R``) is a click.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,25 +24,30 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-@dataclass(frozen=True)
 class Star:
-    """Views over one folder of parquet tables."""
+    """Views over one folder of parquet tables; key statistics are looked up once per instance."""
 
-    spark: SparkSession
-    folder: str
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder
+        self._hot: dict[str, DataFrame | None] = {}
 
     def table(self, name: str, *columns: str) -> DataFrame:
         catalog = {t: f"{self.folder}/{t}.parquet" for t in TABLES}
         return load(self.spark, catalog, name, list(columns) or None)
 
+    def _hot_of(self, table: str, column: str, name: str) -> DataFrame | None:
+        if table not in self._hot:
+            hot = hot_keys(self.table(table, column), [column])
+            self._hot[table] = hot.toDF(name) if hot is not None else None
+        return self._hot[table]
+
     def hot_impressions(self) -> DataFrame | None:
         """Orders with too many lines for one task; reads one column."""
-        hot = hot_keys(self.table("lineitem", "l_orderkey"), ["l_orderkey"])
-        return hot.toDF(S.IMPRESSION) if hot is not None else None
+        return self._hot_of("lineitem", "l_orderkey", S.IMPRESSION)
 
     def hot_users(self) -> DataFrame | None:
-        hot = hot_keys(self.table("orders", "o_custkey"), ["o_custkey"])
-        return hot.toDF(S.USER) if hot is not None else None
+        return self._hot_of("orders", "o_custkey", S.USER)
 
     def impressions(self) -> DataFrame:
         return self.table("orders", "o_orderkey", "o_custkey", "o_orderdate").toDF(S.IMPRESSION, S.USER, S.TIME)
@@ -54,21 +57,27 @@ class Star:
             S.IMPRESSION, S.ARTICLE, "line", "quantity", "flag")
 
     def unslotted(self, hot: DataFrame | None) -> DataFrame:
-        """Candidates without their slot.  Lines and orders meet in one shuffle on the order, which
-        the grouping reuses; a hot order's lines are grouped by article first and meet the few hot
-        orders by broadcast."""
+        """Candidates without their slot.
+
+        Lines are shuffled once on the order; grouping, the join and later per-impression windows
+        all reuse that partitioning.  A line is rarely repeated, so combining before the shuffle
+        would only cost.  A hot order's lines are instead grouped by (order, article), which
+        spreads them, and meet the few hot orders by broadcast.
+        """
         folded = [F.min("line").alias("raw_pos"),
                   F.max(F.when(F.col("flag") == "R", 1).otherwise(0)).alias(S.LABEL),
                   F.max("quantity").alias(S.READ_TIME)]
-        keys = [S.IMPRESSION, S.USER, S.TIME, S.ARTICLE]
         lines, orders = self._lines(), self.impressions()
         if hot is None:
-            return lines.join(orders, S.IMPRESSION).groupBy(*keys).agg(*folded)
+            return self._grouped(lines, folded).join(orders, S.IMPRESSION)
         cold, heavy = split_hot(lines, [S.IMPRESSION], hot)
         few = split_hot(orders, [S.IMPRESSION], hot)[1]
-        grouped = heavy.groupBy(S.IMPRESSION, S.ARTICLE).agg(*folded).join(F.broadcast(few), S.IMPRESSION)
-        return cold.join(orders, S.IMPRESSION).groupBy(*keys).agg(*folded).unionByName(
-            grouped.select(*keys, "raw_pos", S.LABEL, S.READ_TIME))
+        spread = heavy.groupBy(S.IMPRESSION, S.ARTICLE).agg(*folded).join(F.broadcast(few), S.IMPRESSION)
+        return self._grouped(cold, folded).join(orders, S.IMPRESSION).unionByName(spread)
+
+    @staticmethod
+    def _grouped(lines: DataFrame, folded: list) -> DataFrame:
+        return lines.repartition(S.IMPRESSION).groupBy(S.IMPRESSION, S.ARTICLE).agg(*folded)
 
     def candidates(self) -> DataFrame:
         """(impression, user, time, article, label, read_time, pos), pos from 0 in line order."""
