@@ -197,7 +197,7 @@ sc as (select history_length, impression_id, label, round(coalesce(list_dot_prod
        from br_candidates join uv using (user_id) join br_vectors using (article_id))
 """)
 def _(s):
-    return history_length.auc_by_history_length(s.candidates(), s.recent_clicks(10), s.embeddings(), [1, 3, 10], 10, 9)
+    return history_length.auc_by_history_length(s.candidates(), s.recent_clicks(10), s.embeddings(), [1, 3, 10], 10, 9, s.hot_impressions())
 
 
 @query("met_16_auc_over_time", """
@@ -296,7 +296,8 @@ select impression_id, string_agg(label::varchar, ',' order by pos) as clicked_la
        string_agg((round(coalesce(score, 0.0), 3) + 0.0)::varchar, ',' order by pos) as predicted_score
 from br_candidates left join ct using (user_id, article_id) group by 1""", CONTENT)
 def _(s):
-    folded = L.labeled_lists(L.attach_scores(s.candidates(), content_model(s)))
+    s.check_list_lengths()
+    folded = L.labeled_lists(L.attach_scores(s.candidates(), content_model(s)), check=False)
     return folded.select(S.IMPRESSION, lists.text("clicked_labels").alias("clicked_labels"), lists.text(
         F.transform("predicted_score", lambda x: F.round(x, 3))).alias("predicted_score"))
 
@@ -344,7 +345,7 @@ def _(s):
     scores = content.dot_scores(s.candidates().select(*HEAD, S.USER, S.ARTICLE),
                                 users.select(S.USER, F.col("embedding").alias("factors")),
                                 vecs.withColumnRenamed("embedding", "factors"))
-    return content.sigmoid_head(content.softmax_head(scores, name="softmax"), "sigmoid").select(*HEAD, "softmax", "sigmoid")
+    return content.sigmoid_head(content.softmax_head(scores, name="softmax", hot=s.hot_impressions()), "sigmoid").select(*HEAD, "softmax", "sigmoid")
 
 
 @query("mth_2_factor_dot", """
@@ -507,7 +508,8 @@ def _(s):
 select impression_id, case when len(reads) > 0 then array_to_string(list_transform(reads, lambda x: x / 50.0), ',') end as scores
 from br_behaviors""")
 def _(s):
-    df = L.attach_flat_scores(s.impressions().select(S.IMPRESSION), scored(s).select(*HEAD, S.SCORE))
+    s.check_list_lengths()
+    df = L.attach_flat_scores(s.impressions().select(S.IMPRESSION), scored(s).select(*HEAD, S.SCORE), check=False)
     return df.select(S.IMPRESSION, lists.text("scores").alias("scores"))
 
 

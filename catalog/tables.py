@@ -2,6 +2,7 @@
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from catalog.registry import query
 from slatewise import schema as S
@@ -128,7 +129,8 @@ def _(s):
 @query("agg_10_fold_lists", """
 select impression_id, array_to_string(labels, ',') as labels, array_to_string(inview, ',') as articles from br_lists""")
 def _(s):
-    folded = L.to_lists(s.candidates(), [S.IMPRESSION], {S.LABEL: "labels", S.ARTICLE: "articles"})
+    s.check_list_lengths()
+    folded = L.to_lists(s.candidates(), [S.IMPRESSION], {S.LABEL: "labels", S.ARTICLE: "articles"}, check=False)
     return folded.select(S.IMPRESSION, lists.text("labels").alias("labels"), lists.text("articles").alias("articles"))
 
 
@@ -376,13 +378,11 @@ select 'editorial', article_id, rank from (
   select article_id, row_number() over (order by n desc, article_id) as rank
   from (select article_id, count(*) as n from br_candidates group by 1)) where rank <= 5""")
 def _(s):
-    def slice_of(df, column):
-        scored = A.reciprocal_rank_scores(df, column, S.ARTICLE)
-        return scored.filter(F.col("prediction_score") > 1 / 5.5).select(
-            S.ARTICLE, F.round(1 / F.col("prediction_score")).cast("long").alias("rank"))
-
-    return P.concat_named({"popular": slice_of(s.articles().select(S.ARTICLE, "total_pageviews"), "total_pageviews"),
-                           "editorial": slice_of(A.item_counts(s.slotless()), "n")}, "list")
+    popular = P.top_slice(s.articles(), "total_pageviews", S.ARTICLE, 5).select(
+        S.ARTICLE, F.row_number().over(W.orderBy(F.desc("total_pageviews"), S.ARTICLE)).alias("rank"))
+    editorial = P.top_slice(A.item_counts(s.slotless()), "n", S.ARTICLE, 5).select(
+        S.ARTICLE, F.row_number().over(W.orderBy(F.desc("n"), S.ARTICLE)).alias("rank"))
+    return P.concat_named({"popular": popular, "editorial": editorial}, "list")
 
 
 @query("srt_5_random_lists", """

@@ -45,15 +45,18 @@ def nearest_quantile(df: DataFrame, column: str, q: float) -> Column:
 
 
 def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Inclusive running sum of a whole table in a unique order, without a one-partition window."""
+    """Inclusive running sum of a whole table in a unique order, without a one-partition window.
+
+    Rows are cut into at most 1000 blocks; sums run within blocks and over the few block totals.
+    """
     numbered = global_row_number(df, list(order), "__rn", start=0)
-    block = F.floor(F.col("__rn") / 10_000)
-    blocked = numbered.withColumn("__block", block)
+    size = max(10_000, -(-numbered.count() // 1_000))
+    blocked = numbered.withColumn("__block", F.floor(F.col("__rn") / size))
     sums = blocked.groupBy("__block").agg(F.sum(value).alias("__sum"))
     ahead = F.sum("__sum").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
     offsets = sums.select("__block", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
     inside = F.sum(value).over(W.partitionBy("__block").orderBy("__rn"))
-    return (blocked.join(offsets, "__block")
+    return (blocked.join(F.broadcast(offsets), "__block")
             .withColumn(name, F.col("__ahead") + inside).drop("__rn", "__block", "__ahead"))
 
 

@@ -220,6 +220,11 @@ def sample_per_user(df: DataFrame, n: int, seed: int, *keys: str, user: str = S.
     return top_n_in_group(df, [user], hash_order(seed, *keys), n, "__rank").drop("__rank")
 
 
+def top_slice(df: DataFrame, column: str, key: str, n: int) -> DataFrame:
+    """The ``n`` highest rows by one column, ``key`` breaking ties (each task keeps only n rows)."""
+    return df.orderBy(F.desc_nulls_last(column), F.asc(key)).limit(n)
+
+
 def softmax_sample(df: DataFrame, n: int, seed: int, score: str, key: str, temperature: float = 1.0) -> DataFrame:
     """``n`` rows without replacement, inclusion weighted by softmax(score / T) (Gumbel top-k)."""
     u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**52)).cast("double") + 0.5) / float(2**52)

@@ -64,7 +64,8 @@ def labeled_lists(long: DataFrame, check: bool = True) -> DataFrame:
     return to_lists(long, [S.IMPRESSION], {S.LABEL: "clicked_labels", S.SCORE: "predicted_score"}, check=check)
 
 
-def attach_flat_scores(behaviors: DataFrame, scores: DataFrame, name: str = "scores") -> DataFrame:
+def attach_flat_scores(behaviors: DataFrame, scores: DataFrame, name: str = "scores",
+                       check: bool = True) -> DataFrame:
     """Impressions with a list of externally computed (impression_id, pos, score) rows."""
-    folded = to_lists(scores, [S.IMPRESSION], {S.SCORE: name})
+    folded = to_lists(scores, [S.IMPRESSION], {S.SCORE: name}, check=check)
     return behaviors.join(folded, S.IMPRESSION, "left")

@@ -112,6 +112,26 @@ def row_number_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     return cold.withColumn(name, windowed).unionByName(ranked)
 
 
+def with_group_values(df: DataFrame, keys: Sequence[str], values: dict[str, Column], hot=DETECT) -> DataFrame:
+    """Each row with aggregates of its key: a window for ordinary keys, and for the few hot keys
+    a map-side-combined aggregate broadcast back."""
+    if hot is DETECT:
+        hot = hot_keys(df, keys)
+    whole = W.partitionBy(*keys)
+    windowed = {n: v.over(whole) for n, v in values.items()}
+    if hot is None:
+        return df.withColumns(windowed)
+    cold, heavy = split_hot(df, keys, hot)
+    totals = heavy.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()])
+    totals = totals.toDF(*[f"__key_{k}" for k in keys], *values)
+    same = None
+    for k in keys:
+        eq = heavy[k].eqNullSafe(totals[f"__key_{k}"])
+        same = eq if same is None else same & eq
+    filled = heavy.join(F.broadcast(totals), same).select(*df.columns, *values)
+    return cold.withColumns(windowed).unionByName(filled)
+
+
 def top_n_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int,
                    name: str = "rank") -> DataFrame:
     """First ``n`` rows of each key; Spark's window group limit trims each map task to ``n`` per

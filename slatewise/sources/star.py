@@ -93,10 +93,14 @@ class Star:
     def clicks(self) -> DataFrame:
         return self.candidates().filter(F.col(S.LABEL) == 1)
 
+    def check_list_lengths(self) -> None:
+        """Refuse list cells for orders of more than a million lines; reads one column."""
+        require_group_bound(self.table("lineitem", "l_orderkey"), ["l_orderkey"])
+
     def behaviors(self) -> DataFrame:
         """One row per impression with in-view and clicked lists; clicked is null without clicks,
-        in-view empty for orders without lines.  List lengths are checked on the base table."""
-        require_group_bound(self.table("lineitem", "l_orderkey"), ["l_orderkey"])
+        in-view empty for orders without lines."""
+        self.check_list_lengths()
         packed = F.array_sort(F.collect_list(F.struct("raw_pos", S.ARTICLE, S.LABEL, S.READ_TIME)))
         folded = self.unslotted(None).groupBy(S.IMPRESSION).agg(packed.alias("__rows"))
         clicked = F.transform(F.filter("__rows", lambda r: r[S.LABEL] == 1), lambda r: r[S.ARTICLE])

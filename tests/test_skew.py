@@ -110,3 +110,11 @@ def test_results_do_not_depend_on_partitioning(spark, events):
     a = P.sample_per_user(events.repartition(3), 2, 5, "id")
     b = P.sample_per_user(events.repartition(9, "t"), 2, 5, "id")
     assert rows(a) == rows(b)
+
+
+def test_group_values_with_hot_key(events):
+    hot = skew.hot_keys(events, ["user_id"], min_rows=500)
+    values = {"top": F.max("t"), "total": F.sum("id")}
+    got = skew.with_group_values(events, ["user_id"], values, hot)
+    want = skew.with_group_values(events, ["user_id"], values, None)
+    assert rows(got) == rows(want)
