@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,17 +44,3 @@ def distance(kind: str, a: Column, b: Column) -> Column:
     if kind == "manhattan":
         return F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + F.abs(x))
     raise ValueError(f"unknown distance {kind!r}")
-
-
-def dense(a: Column | str) -> Column:
-    """An array as an ML vector; do this on the item table, before vectors are repeated by a join."""
-    return array_to_vector(_c(a).cast("array<double>"))
-
-
-def mean_of(vector: Column | str) -> Column:
-    """Element-wise mean of ML vectors as an aggregate; partial sums are combined before the shuffle."""
-    return vector_to_array(Summarizer.mean(_c(vector)))
-
-
-def sum_of(vector: Column | str) -> Column:
-    return vector_to_array(Summarizer.sum(_c(vector)))

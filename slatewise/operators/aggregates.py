@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from slatewise import schema as S
 from slatewise.functions import scalars
+from slatewise.functions.lists import field
 from slatewise.operators.skew import global_row_number
 
 
@@ -60,6 +61,39 @@ def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> D
             .withColumn(name, F.col("__ahead") + inside).drop("__rn", "__block", "__ahead"))
 
 
+BLOCK = 16  # vector entries summed per row of the blockwise aggregate
+
+
+def vector_sums(df: DataFrame, keys: Sequence[str], vector: str, name: str = "sum", count: str = "n",
+                others: dict[str, Column] | None = None) -> DataFrame:
+    """(keys..., name, count, others...): element-wise sum of the non-null vectors of each key.
+
+    Vectors are cut into blocks of a few entries and the blocks summed as plain columns, which
+    stays in generated code, is combined map-side, and works for any length.  Per key only the
+    summed blocks are put together again.  ``others`` are further aggregates over the same rows.
+    """
+    others = others or {}
+    rest = [c for c in df.columns if c != vector]
+    starts = F.sequence(F.lit(0), F.size(vector) - 1, F.lit(BLOCK))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(vector, i + 1, F.lit(BLOCK)).alias("part")))
+    blocks = df.select(*rest, F.explode(F.when(F.size(vector) > 0, cut)).alias("__b"))
+    blocks = blocks.select(*rest, F.col("__b.at").alias("__at"), F.col("__b.part").alias("__part"))
+    entries = [F.sum(F.get("__part", F.lit(i)).cast("double")).alias(f"__s{i}") for i in range(BLOCK)]
+    summed = blocks.groupBy(*keys, "__at").agg(
+        F.count(F.lit(1)).alias(count), *entries, *[e.alias(o) for o, e in others.items()])
+    parts = F.array_compact(F.array(*[f"__s{i}" for i in range(BLOCK)]))
+    packed = summed.select(*keys, count, *others, F.struct("__at", parts.alias("part")).alias("__p"))
+    folded = packed.groupBy(*keys).agg(
+        F.array_sort(F.collect_list("__p")).alias("__parts"), F.max(count).alias(count),
+        *[F.first(o).alias(o) for o in others])
+    return folded.select(*keys, F.flatten(F.transform("__parts", field("part"))).alias(name), count, *others)
+
+
+def vector_means(df: DataFrame, keys: Sequence[str], vector: str, name: str = "mean") -> DataFrame:
+    sums = vector_sums(df, keys, vector, "__sum", "__n")
+    return sums.select(*keys, F.transform("__sum", lambda x: x / F.col("__n")).alias(name))
+
+
 def global_ratio(df: DataFrame, part: str, whole: str) -> Column:
     """sum(part) / sum(whole) as a scalar subquery."""
     return df.select(F.try_divide(F.sum(part).cast("double"), F.sum(whole).cast("double"))).scalar()

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise import schema as S
-from slatewise.functions import lists, vectors
-from slatewise.operators.aggregates import dense_codes
+from slatewise.functions import lists
+from slatewise.operators.aggregates import dense_codes, vector_means
 from slatewise.operators.longform import explode_lists
 
 
@@ -56,7 +56,7 @@ def index_table(vectors_df: DataFrame, key: str, vector: str, unknown: str = "ze
     known = vectors_df.join(codes, key).select("index", key, F.col(vector).cast("array<double>").alias(vector))
     null_key = F.lit(None).cast(vectors_df.schema[key].dataType).alias(key)
     if unknown == "mean":
-        row = vectors_df.agg(vectors.mean_of(vectors.dense(vector)).alias(vector))
+        row = vector_means(vectors_df.select(vector), [], vector, vector)
     else:
         row = vectors_df.agg(F.array_repeat(F.lit(0.0), F.max(F.size(vector))).alias(vector))
     return known.unionByName(row.select(F.lit(0).cast("long").alias("index"), null_key, vector))

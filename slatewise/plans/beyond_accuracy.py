@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars, vectors
-from slatewise.operators.aggregates import normalized_distribution
+from slatewise.operators.aggregates import normalized_distribution, vector_means, vector_sums
 from slatewise.operators.skew import global_row_number, require_group_bound
 from slatewise.schema import require_columns
 
@@ -39,10 +39,10 @@ def intralist_diversity(recs: DataFrame, attributes: DataFrame, vector: str = "e
         return _pairwise_diversity(rows, vector, keys, distance)
     # vectors are scaled on the item table, before they are repeated per list
     units = attributes.filter(F.col(vector).isNotNull()).select(
-        ITEM, vectors.dense(vectors.unit(vector)).alias("__u"), (vectors.norm(vector) > 0).alias("__some"))
+        ITEM, vectors.unit(vector).alias("__u"), (vectors.norm(vector) > 0).alias("__some"))
     n, m = F.col("__n").cast("double"), F.col("__m").cast("double")
-    sums = recs.select(*keys, ITEM).join(units, ITEM).groupBy(*keys).agg(
-        F.count("__u").alias("__n"), F.count_if("__some").alias("__m"), vectors.sum_of("__u").alias("__sum"))
+    sums = vector_sums(recs.select(*keys, ITEM).join(units, ITEM), keys, "__u", "__sum", "__n",
+                       {"__m": F.count_if("__some")})
     pairs = n * (n - 1)
     value = F.when(n > 1, F.try_divide(pairs + m - vectors.dot("__sum", "__sum"), pairs))
     known = sums.select(*keys, value.alias("diversity"))
@@ -161,9 +161,8 @@ def mean_unit(rows: DataFrame, attributes: DataFrame, vector: str, keys: Sequenc
     """Mean unit vector of each group's known items."""
     require_columns(attributes, [ITEM, vector])
     units = attributes.filter(F.col(vector).isNotNull()).select(
-        ITEM, vectors.dense(vectors.unit(vector)).alias("__u"))
-    joined = rows.select(*keys, ITEM).join(units, ITEM)
-    return joined.groupBy(*keys).agg(vectors.mean_of("__u").alias(name))
+        ITEM, vectors.unit(vector).alias("__u"))
+    return vector_means(rows.select(*keys, ITEM).join(units, ITEM), keys, "__u", name)
 
 
 def serendipity(recs: DataFrame, history: DataFrame, attributes: DataFrame, vector: str = "embedding",
@@ -205,17 +204,17 @@ def report(baselines: Mapping[str, DataFrame], attributes: DataFrame, history: D
     require_columns(attributes, [ITEM, vector, popularity, sentiment_col])
     # (lists without a known item have no values and drop out here)
     items = attributes.filter(F.col(vector).isNotNull()).select(
-        ITEM, vectors.dense(vectors.unit(vector)).alias("__u"), (vectors.norm(vector) > 0).alias("__some"),
+        ITEM, vectors.unit(vector).alias("__u"), (vectors.norm(vector) > 0).alias("__some"),
         F.col(sentiment_col).alias("__sentiment"), scalars.self_information(popularity).alias("__info"))
-    per_list = every.join(items, ITEM).groupBy(*keys).agg(
-        F.count("__u").cast("double").alias("__n"), F.count_if("__some").cast("double").alias("__m"),
-        vectors.sum_of("__u").alias("__sum"), F.avg("__sentiment").alias("sentiment"), F.avg("__info").alias("novelty"))
-    n, possible = F.col("__n"), F.col("__n") * (F.col("__n") - 1)
+    per_list = vector_sums(every.join(items, ITEM), keys, "__u", "__sum", "__n", {
+        "__m": F.count_if("__some"), "sentiment": F.avg("__sentiment"), "novelty": F.avg("__info")})
+    n = F.col("__n").cast("double")
+    possible = n * (n - 1)
     spread = possible + F.col("__m") - vectors.dot("__sum", "__sum")
     per_list = per_list.withColumn("diversity", F.when(n > 1, F.try_divide(spread, possible)))
 
     read = history.select("reader", ITEM).join(items.select(ITEM, "__u"), ITEM)
-    means = read.groupBy("reader").agg(vectors.mean_of("__u").alias("__h"))
+    means = vector_means(read.drop(ITEM), ["reader"], "__u", "__h")
     closeness = F.try_divide(vectors.dot("__sum", "__h"), n)
     surprise = pairs.join(per_list.select(*keys, "__n", "__sum"), keys, "left").join(means, "reader", "left").select(
         "baseline", (1 - closeness).alias("serendipity"))
