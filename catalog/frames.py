@@ -449,9 +449,8 @@ select doc_id, len(w)::bigint as n_tokens,
        md5(array_to_string(list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % 30000 + 1), ',')) as ids_hash
 from (select doc_id, {WORDS} as w from documents)""")
 def _(s):
-    ids = scalars.hashed_token_ids("text", 30_000)
-    return s.table("documents", "doc_id", "text").select(
-        "doc_id", F.size(ids).alias("n_tokens"), F.md5(lists.text(ids)).alias("ids_hash"))
+    ids = s.table("documents", "doc_id", "text").select("doc_id", scalars.hashed_token_ids("text", 30_000).alias("ids"))
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(lists.text("ids")).alias("ids_hash"))
 
 
 @query("str_5_cast_to_text", "select o_orderkey::varchar as impression_id, o_orderdate::varchar as impression_time from orders")

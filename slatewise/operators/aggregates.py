@@ -15,6 +15,9 @@ from slatewise.functions.lists import field
 from slatewise.operators.skew import global_row_number
 
 
+SMALL = 100_000  # distinct values one task may sort
+
+
 def item_counts(df: DataFrame, item: str = S.ARTICLE, name: str = "n") -> DataFrame:
     return df.groupBy(item).agg(F.count(F.lit(1)).alias(name))
 
@@ -39,9 +42,12 @@ def nearest_quantile(df: DataFrame, column: str, q: float) -> Column:
     Equal values are counted together first, then the cumulative counts decide.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__times"))
-    rows = counts.agg(F.sum("__times")).first()[0] or 0
-    target = math.floor(q * (rows - 1) + 0.5) + 1
-    ordered = running_sum(counts, [column], "__times", "__upto")
+    rows, distinct = counts.agg(F.sum("__times"), F.count(F.lit(1))).first()
+    target = math.floor(q * ((rows or 0) - 1) + 0.5) + 1
+    if distinct <= SMALL:
+        ordered = counts.withColumn("__upto", F.sum("__times").over(W.orderBy(column)))
+    else:
+        ordered = running_sum(counts, [column], "__times", "__upto")
     return ordered.filter(F.col("__upto") >= target).select(F.min(column)).scalar()
 
 
@@ -70,22 +76,24 @@ def vector_sums(df: DataFrame, keys: Sequence[str], vector: str, name: str = "su
 
     Vectors are cut into blocks of a few entries and the blocks summed as plain columns, which
     stays in generated code, is combined map-side, and works for any length.  Per key only the
-    summed blocks are put together again.  ``others`` are further aggregates over the same rows.
+    summed blocks are put together again.  Keys without any vector stay, with count 0 and an empty
+    sum.  ``others`` are further aggregates over the rows that have a vector.
     """
     others = others or {}
     rest = [c for c in df.columns if c != vector]
     starts = F.sequence(F.lit(0), F.size(vector) - 1, F.lit(BLOCK))
     cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(vector, i + 1, F.lit(BLOCK)).alias("part")))
-    blocks = df.select(*rest, F.explode(F.when(F.size(vector) > 0, cut)).alias("__b"))
+    blocks = df.select(*rest, F.explode_outer(F.when(F.size(vector) > 0, cut)).alias("__b"))
     blocks = blocks.select(*rest, F.col("__b.at").alias("__at"), F.col("__b.part").alias("__part"))
     entries = [F.sum(F.get("__part", F.lit(i)).cast("double")).alias(f"__s{i}") for i in range(BLOCK)]
     summed = blocks.groupBy(*keys, "__at").agg(
-        F.count(F.lit(1)).alias(count), *entries, *[e.alias(o) for o, e in others.items()])
+        F.count("__part").alias(count), *entries, *[e.alias(o) for o, e in others.items()])
     parts = F.array_compact(F.array(*[f"__s{i}" for i in range(BLOCK)]))
-    packed = summed.select(*keys, count, *others, F.struct("__at", parts.alias("part")).alias("__p"))
-    folded = packed.groupBy(*keys).agg(
-        F.array_sort(F.collect_list("__p")).alias("__parts"), F.max(count).alias(count),
-        *[F.first(o).alias(o) for o in others])
+    filled = F.col("__at").isNotNull()
+    packed = F.when(filled, F.struct("__at", parts.alias("part")))
+    folded = summed.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(packed)).alias("__parts"), F.max(count).alias(count),
+        *[F.first(F.when(filled, F.col(o)), ignorenulls=True).alias(o) for o in others])
     return folded.select(*keys, F.flatten(F.transform("__parts", field("part"))).alias(name), count, *others)
 
 

@@ -40,15 +40,12 @@ def intralist_diversity(recs: DataFrame, attributes: DataFrame, vector: str = "e
     # vectors are scaled on the item table, before they are repeated per list
     units = attributes.filter(F.col(vector).isNotNull()).select(
         ITEM, vectors.unit(vector).alias("__u"), (vectors.norm(vector) > 0).alias("__some"))
-    n, m = F.col("__n").cast("double"), F.col("__m").cast("double")
-    sums = vector_sums(recs.select(*keys, ITEM).join(units, ITEM), keys, "__u", "__sum", "__n",
+    n, m = F.col("__n").cast("double"), F.coalesce("__m", F.lit(0)).cast("double")
+    sums = vector_sums(recs.select(*keys, ITEM).join(units, ITEM, "left"), keys, "__u", "__sum", "__n",
                        {"__m": F.count_if("__some")})
     pairs = n * (n - 1)
     value = F.when(n > 1, F.try_divide(pairs + m - vectors.dot("__sum", "__sum"), pairs))
-    known = sums.select(*keys, value.alias("diversity"))
-    if not keys:
-        return known
-    return recs.select(*keys).distinct().join(known, list(keys), "left")  # lists of unknown items stay, as null
+    return sums.select(*keys, value.alias("diversity"))
 
 
 def _pairwise_diversity(rows: DataFrame, vector: str, keys: Sequence[str], distance: str) -> DataFrame:

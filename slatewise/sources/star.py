@@ -25,16 +25,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 class Star:
-    """Views over one folder of parquet tables; key statistics are looked up once per instance."""
+    """Views over one folder of parquet tables; footers and key statistics are read once per instance."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._catalog = {t: f"{folder}/{t}.parquet" for t in TABLES}
+        self._tables: dict[str, DataFrame] = {}
         self._hot: dict[str, DataFrame | None] = {}
 
     def table(self, name: str, *columns: str) -> DataFrame:
-        catalog = {t: f"{self.folder}/{t}.parquet" for t in TABLES}
-        return load(self.spark, catalog, name, list(columns) or None)
+        if name not in self._tables:
+            self._tables[name] = load(self.spark, self._catalog, name)
+        df = self._tables[name]
+        return df.select(*columns) if columns else df
 
     def _hot_of(self, table: str, column: str, name: str) -> DataFrame | None:
         if table not in self._hot:
