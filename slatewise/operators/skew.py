@@ -20,7 +20,7 @@ from slatewise.session import ensure_checkpoint_dir
 # A key is hot above this many rows ...
 HOT_ROWS = 1_000_000
 # ... and above this fraction of the table, so fewer than HOT_SHARE keys can ever be hot.
-HOT_SHARE = 1_000
+HOT_SHARE = 100_000
 
 DETECT = object()
 
