@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from slatewise.llm import decontamination, exact_dedup
+from slatewise.llm import decontamination, exact_dedup, licences, mixing, simhash, url_filter, warc
 
-QUERIES = {
-    "op1_decontamination": decontamination.op1_decontamination,
-    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
-}
+QUERIES = {f.__name__: f for f in (
+    decontamination.op1_decontamination, licences.op3_licence_scan, simhash.op4_simhash, mixing.op5_mixing,
+    exact_dedup.op8_exact_dedup, url_filter.op9_url_filter, warc.op10_warc)}
 
 ORACLES = {
     "op1_decontamination": decontamination.SQL,
+    "op3_licence_scan": licences.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
