@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from slatewise.llm import decontamination, exact_dedup, licences, mixing, simhash, url_filter, warc
+from slatewise.llm import decontamination, exact_dedup, licences, mixing, quality, simhash, url_filter, warc
 
 QUERIES = {f.__name__: f for f in (
-    decontamination.op1_decontamination, licences.op3_licence_scan, simhash.op4_simhash, mixing.op5_mixing,
+    decontamination.op1_decontamination, licences.op3_licence_scan, simhash.op4_simhash, mixing.op5_mixing, quality.op6_quality,
     exact_dedup.op8_exact_dedup, url_filter.op9_url_filter, warc.op10_warc)}
 
 ORACLES = {
