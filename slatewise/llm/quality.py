@@ -7,7 +7,8 @@ calibrated log-odds are combined by a third model, fitted on the documents kept
 is scored in one pass.
 
 Fitting uses a bounded sample of documents, ``SAMPLE`` expected, drawn by a hash of the id; features of the
-sample are computed next to the scan and only they are shuffled.  The models are a few hundred numbers.
+sample are computed next to the scan and only they are shuffled.  The models are a few hundred numbers,
+fitted by Newton steps whose sums Spark gathers.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +31,8 @@ ROUNDS = 3
 SURE = 0.97  # calibrated probability from which a view teaches the other
 KEEP = 0.5
 ASIDE = 4  # every fourth labelled document of the sample is kept aside for calibration
+STEPS = 10
+RIDGE = 1e-3
 SEED = 7
 
 MARKS = b"!|.,;:?-_/()[]{}<>=+*&%$#@'\"~^\\`"
@@ -111,12 +112,6 @@ def _features(rows: DataFrame, keep: list[str], meta: tuple[str, str, str]) -> D
     return rows.mapInArrow(run, schema)
 
 
-def _fit(rows: DataFrame, column: str) -> View:
-    model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=30, regParam=1e-4, tol=1e-5).fit(
-        rows.select(array_to_vector(F.col(column)).alias("x"), F.col("label").cast("double")))
-    return View(model.coefficients.toArray(), float(model.intercept))
-
-
 def _newton(z: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 25) -> np.ndarray:
     """Weights of a small logistic model, offset last, of the documents kept aside."""
     x = np.column_stack([z, np.ones(len(z))])
@@ -128,25 +123,73 @@ def _newton(z: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 25) ->
     return w
 
 
-def _views(taught: dict[str, DataFrame], aside: DataFrame) -> tuple[View, View, np.ndarray, np.ndarray]:
-    """Both views, fitted and calibrated, with the log-odds and labels of the documents kept aside."""
-    views = [_fit(taught["text_x"], "text_x"), _fit(taught["meta_x"], "meta_x")]
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _examples(batch: pa.RecordBatch, teachers: tuple[View, View] | None, edge: float):
+    """(x, y, chosen) of the text view and of the metadata view: the labelled documents, and the unlabelled
+    ones that the other view is sure of."""
+    x = _matrix(batch.column("text_x")), _matrix(batch.column("meta_x"))
+    label = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
+    open_ = np.isnan(label)
+    train = ~open_ & ~batch.column("aside").to_numpy(zero_copy_only=False)
+    for view in (0, 1):
+        y, chosen = np.where(open_, 0.0, label), train
+        if teachers:
+            told = teachers[1 - view].log_odds(x[1 - view])
+            sure = open_ & (np.abs(told) >= edge)
+            y, chosen = np.where(sure, told > 0, y), train | sure
+        yield x[view][chosen], y[chosen]
+
+
+def _fit(rows: DataFrame, teachers: tuple[View, View] | None, edge: float) -> tuple[View, View]:
+    """Both views by Newton's method.  A step is one pass over the sample: each partition sums its gradients
+    and curvatures, and the driver adds one row per partition."""
+    sizes = TEXT_SIZE + 1, META_SIZE + 1
+    weights, ridge = [np.zeros(d) for d in sizes], [None, None]
+    for _ in range(STEPS):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = [(np.zeros(d), np.zeros((d, d)), np.zeros(1)) for d in sizes]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                for w, (g, h, n), (x, y) in zip(weights, sums, _examples(batch, teachers, edge)):
+                    x = np.column_stack([x, np.ones(len(x))])
+                    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                    g += x.T @ (p - y)
+                    h += (x * (p * (1 - p))[:, None]).T @ x
+                    n += len(y)
+            flat = np.concatenate([part.ravel() for view in sums for part in view])
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["sums"])
+
+        parts = rows.mapInArrow(run, "sums binary").collect()  # one row for each of the sample's few partitions
+        total, at = sum(np.frombuffer(r["sums"]) for r in parts), 0
+        for k, d in enumerate(sizes):
+            g, h, n = total[at:at + d], total[at + d:at + d + d * d].reshape(d, d), max(1.0, total[at + d + d * d])
+            at += d + d * d + 1
+            if ridge[k] is None:  # at weight 0 the curvature is a quarter of each feature's mean square
+                ridge[k] = RIDGE * 4 * np.diag(h) / n + 1e-9
+            weights[k] = weights[k] - np.linalg.solve(h / n + np.diag(ridge[k]), g / n + ridge[k] * weights[k])
+    return tuple(View(w[:-1], float(w[-1])) for w in weights)
+
+
+def _calibrated(views: tuple[View, View], rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Set slope and offset of both views on the documents kept aside; their log-odds and labels."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = [v.log_odds(_matrix(b.column(c))) if b.num_rows else np.zeros(0) for v, c in zip(views, ("text_x", "meta_x"))]
+            yield pa.RecordBatch.from_arrays([pa.array(z[0]), pa.array(z[1]), b.column("label")], ["t", "m", "label"])
+
     # bounded by the sample: a quarter of its labelled documents, three numbers each
-    seen = aside.select(_odds(views[0], "text_x").alias("t"), _odds(views[1], "meta_x").alias("m"), "label").toPandas()
+    seen = rows.filter("aside and label is not null").mapInArrow(run, "t double, m double, label int").toPandas()
     y = seen["label"].to_numpy(float)
     for view, name in zip(views, ("t", "m")):
         slope, offset = _newton(seen[[name]].to_numpy(), y)
         # a view that orders these documents backwards has nothing to say
         view.slope, view.offset = max(0.0, float(slope)), float(offset)
         seen[name] = np.clip(view.slope * seen[name] + view.offset, -30, 30)
-    return *views, seen[["t", "m"]].to_numpy(), y
-
-
-def _odds(view: View, column: str):
-    """Calibrated log-odds as a column."""
-    pairs = F.zip_with(F.col(column), F.array(*[F.lit(float(w)) for w in view.weights]), lambda x, w: x * w)
-    raw = F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b) + view.bias
-    return F.greatest(F.least(raw * view.slope + view.offset, F.lit(30.0)), F.lit(-30.0))
+    return seen[["t", "m"]].to_numpy(), y
 
 
 def co_train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
@@ -171,17 +214,12 @@ def co_train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     both = lambda d: d.select(F.countDistinct("label")).first()[0] == 2
     if not both(train) or not both(aside):
         return Model(None, None)
-    taught = {"text_x": train, "meta_x": train}
-    for step in range(rounds + 1):
-        text, other, z, y = _views(taught, aside)
-        if step == rounds:
-            break
-        odds, edge = pool.select("text_x", "meta_x", _odds(text, "text_x").alias("t"), _odds(other, "meta_x").alias("m")), float(np.log(sure / (1 - sure)))
-        lesson = lambda z: odds.filter(F.abs(z) >= edge).withColumn("label", (F.col(z) > 0).cast("int"))
-        taught = {"meta_x": train.select("text_x", "meta_x", "label").unionByName(lesson("t").select("text_x", "meta_x", "label")),
-                  "text_x": train.select("text_x", "meta_x", "label").unionByName(lesson("m").select("text_x", "meta_x", "label"))}
+    edge, views = float(np.log(sure / (1 - sure))), None
+    for _ in range(rounds + 1):
+        views = _fit(x, views, edge)
+        z, y = _calibrated(views, x)
     w = _newton(z, y)
-    return Model((text, other), View(w[:-1], float(w[-1])))
+    return Model(views, View(w[:-1], float(w[-1])))
 
 
 def judged(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text",
