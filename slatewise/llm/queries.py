@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from slatewise.llm import decontamination, exact_dedup, hmm, licences, mixing, quality, simhash, url_filter, warc
+from slatewise.llm import decontamination, exact_dedup, hmm, licences, mixing, passages, quality, simhash, url_filter, warc
 
 QUERIES = {f.__name__: f for f in (
-    decontamination.op1_decontamination, hmm.op2_hmm_scores, licences.op3_licence_scan, simhash.op4_simhash, mixing.op5_mixing, quality.op6_quality,
+    decontamination.op1_decontamination, hmm.op2_hmm_scores, licences.op3_licence_scan, simhash.op4_simhash, mixing.op5_mixing, quality.op6_quality, passages.op7_passages,
     exact_dedup.op8_exact_dedup, url_filter.op9_url_filter, warc.op10_warc)}
 
 ORACLES = {
