@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,44 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if now <= 0 or now > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with every input bit spread over all output bits, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def reseeded(x: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th hash of hashed values."""
+    return mixed(x + np.uint64((k + 1) * int(ODD) % 2**64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word; A-Z as a-z."""
+    words = text.lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the shingle that starts at each word; as long as ``words`` less ``size`` - 1, never 0."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = out * ODD + words[k:k + n]
+    return mixed(out) | np.uint64(1)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """One string that tells a row's id and text, null ids among them."""
+    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.sha2(whole(text_col), 256))
+
+
+def as_row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from slatewise.llm.common import ascii_lower, checkpointed, table, whole
+from slatewise.llm.common import as_row, ascii_lower, checkpointed, table, whole
 
 WINDOW = 10
 # A window of ten words is some hundred bytes, so a broadcast set stays under about 50 MB.
@@ -127,8 +127,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
         raise ValueError("remove is 'documents' or 'spans'")
     bad = (contamination(docs, items, id_col, text_col, **options).filter("contaminated")
            .select(F.col(id_col).alias("id"), "digest", "spans").dropDuplicates(["id", "digest"]))
-    tagged = docs.select(F.col(id_col).alias("id"), F.sha2(whole(text_col), 256).alias("digest"),
-                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    tagged = docs.select(F.col(id_col).alias("id"), F.sha2(whole(text_col), 256).alias("digest"), as_row(docs))
     b = bad.withColumnRenamed("id", "id2").withColumnRenamed("digest", "digest2")
     same = (tagged["digest"] == b["digest2"]) & tagged["id"].eqNullSafe(b["id2"])
     if remove == "documents":

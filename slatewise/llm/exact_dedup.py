@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import SPACE, checkpointed, table, whole
+from slatewise.llm.common import SPACE, as_row, checkpointed, table, whole
 
 BLOCK_CHARS = 4096
 
@@ -93,13 +93,11 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of rows that repeat id and text, the one whose other columns sort first stays.
     """
-    kept = exact_duplicates(docs, id_col, text_col, block_chars).filter("kept").select(
-        F.col(id_col).alias("id"), F.col("text_sha256").alias("digest"))
-    tagged = docs.select(F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("digest"),
-                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = exact_duplicates(docs, id_col, text_col, block_chars).filter("kept")
     # one string tells id and text, so that the join and the grouping share one shuffle
-    key = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("digest")).alias("key")
-    chosen = tagged.select(key, "row").join(kept.select(key), "key", "left_semi")
+    key = lambda digest: F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), digest).alias("key")
+    rows = docs.select(key(F.sha2(normalised(text_col), 256)), as_row(docs))
+    chosen = rows.join(kept.select(key(F.col("text_sha256"))), "key", "left_semi")
     return chosen.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
 
 

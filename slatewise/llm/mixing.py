@@ -16,8 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from slatewise.llm.common import checkpointed, table, whole, word_count
+from slatewise.llm.common import as_row, checkpointed, table, whole, word_count
 from slatewise.operators.skew import global_row_number
 
 WEIGHTS = (5, 2, 1)
@@ -141,5 +142,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         copies.alias("copies"), (copies * F.col("size")).alias("taken"), "nth")
 
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents the mix takes: all their columns, and size, source_size, target, copies (1 or more) and taken.
+
+    A column of ``docs`` with one of these names gives way to the added one.
+    """
+    added = ["size", "source_size", "target", "copies", "taken"]
+    parts = lambda size: F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), F.coalesce(
+        F.col(source_col).cast("string"), F.lit("\x01")), size.cast("string")).alias("key")
+    dealt = mix(docs, id_col, text_col, source_col, **options)
+    dealt = dealt.groupBy(parts(F.col("size"))).agg(F.sort_array(F.collect_list(F.struct("nth", *added))).alias("dealt"))
+    rows = docs.select(parts(word_count(whole(text_col))), F.xxhash64(whole(text_col)).alias("order"), as_row(docs))
+    # rows that agree in id, source and size are numbered; their key is the join's, so this shuffles nothing
+    nth = F.row_number().over(W.partitionBy("key").orderBy("order"))
+    one = rows.join(dealt, "key").withColumn("one", F.element_at("dealt", nth))
+    kept = [c for c in docs.columns if c not in added]
+    return one.filter("one.copies > 0").select(*[F.col("row").getField(c).alias(c) for c in kept], *[F.col(f"one.{c}") for c in added])
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")

@@ -7,8 +7,12 @@ nodes that together hold at most ``leaf`` fingerprints is walked to the end insi
 arrays.  Nothing but trie nodes decides where the work goes, so a crowded prefix (many near copies) is
 split further down and a sparse one early.
 
-A task reports how the fingerprints it holds hang together (each linked to the smallest of its part), not
-every pair, so the output of a crowded group grows with its size and not with its square.
+A task reports how the fingerprints it holds hang together (each linked to the smallest of its part), or for
+each its nearest and its smallest partner, not every pair: the output of a crowded group grows with its size
+and not with its square.
+
+``near_duplicates`` links documents by one fingerprint.  ``similar_links`` is for a similarity of shingle sets:
+fingerprints of the set of words, under several hashes, propose links that the texts then confirm.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatewise.llm.common import checkpointed, small_batches, table, whole
+from slatewise.llm.common import (as_row, checkpointed, reseeded, row_key, shingle_hashes, small_batches, table, whole,
+                                  word_hashes, written)
 from slatewise.llm.graph import components
 
 SHINGLE = 3
@@ -30,6 +35,10 @@ ERRORS = 2
 SEED = 42
 LEAF = 8192
 STEP = 4
+TABLES = 16
+TABLE_ERRORS = 3
+SIMILAR = 0.8
+SIMILAR_SHINGLE = 5
 SLAB = 1 << 16  # shingles whose bits are spread out at a time
 
 
@@ -130,10 +139,20 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _walk_pairs(batches: Iterator[pa.RecordBatch], errors: int) -> Iterator[pa.RecordBatch]:
+def _partners(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Rows (position, partner): each position's smallest partner and its nearest one."""
+    at, other, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
+    least, near = np.full(n, n), np.full(n, 65 * n)
+    np.minimum.at(least, at, other)
+    np.minimum.at(near, at, far * n + other)
+    some = np.flatnonzero(least < n)
+    return np.concatenate([np.stack([some, least[some]], axis=1), np.stack([some, near[some] % n], axis=1)])
+
+
+def _walk_pairs(batches: Iterator[pa.RecordBatch], errors: int, direct: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
-            d, err, same = (batch.column(c)[row].as_py() for c in ("depth", "err", "same"))
+            tab, d, err, same = (batch.column(c)[row].as_py() for c in ("tab", "depth", "err", "same"))
             a = np.sort(np.asarray(batch.column("fa")[row].values).view(np.uint64))
             b = a if same else np.sort(np.asarray(batch.column("fb")[row].values).view(np.uint64))
             # below two nodes the budget is what their prefixes have left of it, and only the bits below count
@@ -142,23 +161,30 @@ def _walk_pairs(batches: Iterator[pa.RecordBatch], errors: int) -> Iterator[pa.R
             if not len(i):
                 continue
             every = a if same else np.concatenate([a, b])
-            top = roots(len(every), i, j if same else j + len(a))
-            moved = np.flatnonzero(top != np.arange(len(every)))
+            j = j if same else j + len(a)
+            if direct:
+                pairs = _partners(len(every), i, j, np.bitwise_count(every[i] ^ every[j]).astype(np.int64))
+            else:
+                top = roots(len(every), i, j)
+                moved = np.flatnonzero(top != np.arange(len(every)))
+                pairs = np.stack([moved, top[moved]], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(every[moved].view(np.int64)), pa.array(every[top[moved]].view(np.int64))], ["a", "b"])
+                [pa.array(np.full(len(pairs), tab, np.int32)), *[pa.array(every[pairs[:, k]].view(np.int64)) for k in (0, 1)]], ["tab", "a", "b"])
 
 
-def near_links(prints: DataFrame, errors: int = ERRORS, leaf: int = LEAF) -> DataFrame:
-    """(a, b): links that join exactly those fingerprints (column fp, distinct) that chains of pairs with at
-    most ``errors`` differing bits join."""
+def near_links(prints: DataFrame, errors: int = ERRORS, leaf: int = LEAF, direct: bool = False) -> DataFrame:
+    """(tab, a, b) over the distinct rows (tab, fp) of ``prints``: one trie for each ``tab``.
+
+    The links join exactly those fingerprints that chains of pairs with at most ``errors`` differing bits join.
+    With ``direct`` they are such pairs themselves: of each fingerprint and each node pair it is in, the
+    nearest partner and the smallest.
+    """
     spark = prints.sparkSession
     small_batches(spark, 200)
-    total = prints.count()
-    frontier = spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("err"),
-                                     F.lit(total).cast("long").alias("na"), F.lit(total).cast("long").alias("nb"))
+    zero = F.lit(0).cast("long")
+    frontier = checkpointed(prints.groupBy("tab").agg(F.count(F.lit(1)).alias("na")).select(
+        "tab", zero.alias("a"), zero.alias("b"), F.lit(0).alias("err"), "na", F.col("na").alias("nb")))
     depth, ready = 0, []
-    if not total:
-        return spark.createDataFrame([], "a long, b long")
     while True:
         light = F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.col("na") + F.col("nb")) <= leaf
         done = frontier.filter(light)
@@ -168,30 +194,32 @@ def near_links(prints: DataFrame, errors: int = ERRORS, leaf: int = LEAF) -> Dat
         if depth == 64 or frontier.isEmpty():
             break
         step = min(STEP, 64 - depth)
-        heavy = frontier.select("a").unionByName(frontier.select(F.col("b").alias("a"))).distinct()
-        nodes = (prints.select(_prefix(depth).alias("a"), _prefix(depth + step).alias("child"))
-                 .groupBy("a", "child").agg(F.count(F.lit(1)).alias("n")).join(heavy, "a", "left_semi"))
-        xs = nodes.select("a", F.col("child").alias("ca"), F.col("n").alias("ma"))
-        ys = nodes.select(F.col("a").alias("b"), F.col("child").alias("cb"), F.col("n").alias("mb"))
+        heavy = frontier.select("tab", "a").unionByName(frontier.select("tab", F.col("b").alias("a"))).distinct()
+        nodes = (prints.select("tab", _prefix(depth).alias("a"), _prefix(depth + step).alias("child"))
+                 .groupBy("tab", "a", "child").agg(F.count(F.lit(1)).alias("n")).join(heavy, ["tab", "a"], "left_semi"))
+        xs = nodes.select("tab", "a", F.col("child").alias("ca"), F.col("n").alias("ma"))
+        ys = nodes.select("tab", F.col("a").alias("b"), F.col("child").alias("cb"), F.col("n").alias("mb"))
         low = F.lit((1 << step) - 1).cast("long")
         differ = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")).bitwiseAND(low))
-        down = (frontier.join(xs, "a").join(ys, "b").withColumn("err", F.col("err") + differ)
+        down = (frontier.join(xs, ["tab", "a"]).join(ys, ["tab", "b"]).withColumn("err", F.col("err") + differ)
                 .filter((F.col("err") <= errors) & ((F.col("a") < F.col("b")) | (F.col("ca") <= F.col("cb")))))
-        frontier = checkpointed(down.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "err",
+        frontier = checkpointed(down.select("tab", F.col("ca").alias("a"), F.col("cb").alias("b"), "err",
                                             F.col("ma").alias("na"), F.col("mb").alias("nb")))
         depth += step
+    if not ready:
+        return spark.createDataFrame([], "tab int, a long, b long")
     out = None
     for at, pairs in ready:
-        nodes = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-        blobs = (prints.select(_prefix(at).alias("a"), "fp").join(nodes, "a", "left_semi")
-                 .groupBy("a").agg(F.collect_list("fp").alias("fa")))
-        own = pairs.filter("a = b").join(blobs, "a").withColumn("fb", F.array().cast("array<bigint>"))
-        cross = (pairs.filter("a <> b").join(blobs, "a")
-                 .join(blobs.select(F.col("a").alias("b"), F.col("fa").alias("fb")), "b"))
-        part = own.unionByName(cross, allowMissingColumns=True).select(
-            F.lit(at).alias("depth"), "err", (F.col("a") == F.col("b")).alias("same"), "fa", "fb")
+        nodes = pairs.select("tab", "a").unionByName(pairs.select("tab", F.col("b").alias("a"))).distinct()
+        blobs = (prints.select("tab", _prefix(at).alias("a"), "fp").join(nodes, ["tab", "a"], "left_semi")
+                 .groupBy("tab", "a").agg(F.collect_list("fp").alias("fa")))
+        own = pairs.filter("a = b").join(blobs, ["tab", "a"]).withColumn("fb", F.array().cast("array<bigint>"))
+        cross = (pairs.filter("a <> b").join(blobs, ["tab", "a"])
+                 .join(blobs.select("tab", F.col("a").alias("b"), F.col("fa").alias("fb")), ["tab", "b"]))
+        part = own.unionByName(cross).select(
+            "tab", F.lit(at).alias("depth"), "err", (F.col("a") == F.col("b")).alias("same"), "fa", "fb")
         out = part if out is None else out.unionByName(part)
-    return out.mapInArrow(lambda batches: _walk_pairs(batches, errors), "a long, b long")
+    return out.mapInArrow(lambda batches: _walk_pairs(batches, errors, direct), "tab int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -205,14 +233,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marks = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     prints = checkpointed(marks.groupBy("fp").agg(F.min("id").alias("first")))
-    tree = components(near_links(prints.select("fp"), errors, leaf))
+    tree = components(near_links(prints.select(F.lit(0).alias("tab"), "fp"), errors, leaf).select("a", "b"))
     rooted = (prints.join(tree.withColumnRenamed("node", "fp"), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    classes = checkpointed(rooted.join(least, "root").select("fp", "component_id"))
     return marks.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def set_fingerprints(text: bytes, tables: int = TABLES) -> list[int]:
+    """Fingerprints of the set of a text's words under ``tables`` hashes; 0 without words."""
+    words = np.unique(word_hashes(text))
+    out = []
+    for k in range(tables):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(words), SLAB):
+            part = reseeded(words[at:at + SLAB], k).view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > len(words)).astype(np.uint8), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct shingles, sorted; a text of fewer words is one shingle, a text without words has none."""
+    words = word_hashes(text)
+    return np.unique(shingle_hashes(words, min(shingle, len(words)))) if len(words) else words
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR,
+                  shingle: int = SIMILAR_SHINGLE, tables: int = TABLES, errors: int = TABLE_ERRORS, leaf: int = LEAF) -> DataFrame:
+    """(a, b, similarity): confirmed links between rows, named by ``row_key``; the Jaccard similarity of the
+    sets of shingles is at least ``similar``.  Two texts without words are alike."""
+    small_batches(docs.sparkSession, 500)
+    source = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), whole(text_col).cast("binary").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([set_fingerprints(x, tables) for x in b.column("text").to_pylist()], np.int64).reshape(-1, tables)
+            at = pa.array(np.repeat(np.arange(len(prints)), tables))
+            tabs = np.tile(np.arange(tables, dtype=np.int32), len(prints))
+            yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("id").take(at), pa.array(tabs), pa.array(prints.ravel())],
+                                             ["key", "id", "tab", "fp"])
+
+    marks = written(source.mapInArrow(mark, f"key string, id {kind}, tab int, fp long"), "prints")
+    # one document stands for those with the same fingerprint
+    reps = checkpointed(marks.groupBy("tab", "fp").agg(F.min(F.struct("id", "key"))["key"].alias("rep")))
+    equal = marks.join(reps, ["tab", "fp"]).filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    near = checkpointed(near_links(reps.select("tab", "fp"), errors, leaf, direct=True).distinct())
+    sides = near.join(reps.withColumnsRenamed({"fp": "a", "rep": "ka"}), ["tab", "a"]).join(
+        reps.withColumnsRenamed({"fp": "b", "rep": "kb"}), ["tab", "b"]).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    either = equal.unionByName(sides)
+    links = checkpointed(either.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    texts = source.select("key", "text")
+    both = links.join(texts.withColumnsRenamed({"key": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "y"}), "b")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ys = None, None
+        for b in batches:
+            score = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                if y != last:
+                    last, ys = y, shingle_set(y, shingle)
+                xs = shingle_set(x, shingle)
+                shared = len(np.intersect1d(xs, ys, assume_unique=True))
+                every = len(xs) + len(ys) - shared
+                score.append(shared / every if every else 1.0)
+            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(score, pa.float64())], ["a", "b", "similarity"])
+            yield out.filter(pa.array([s >= similar for s in score], pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(confirm, "a string, b string, similarity double").distinct()
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest id, a null id last.
+
+    Groups are chains of links.  Of rows that repeat id and text, the one whose other columns sort first stays.
+    """
+    links = similar_links(docs, id_col, text_col, **options).select("a", "b")
+    tree = components(links)
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"))
+    grouped = checkpointed(tree.join(keyed.withColumnRenamed("key", "node"), "node"))
+    first = F.struct(F.col("id").isNull(), "id", "node")
+    stay = grouped.groupBy("root").agg(F.min(first)["node"].alias("node"))
+    gone = grouped.select("node").distinct().join(stay, "node", "left_anti").withColumnRenamed("node", "key")
+    rows = docs.select(row_key(id_col, text_col).alias("key"), as_row(docs)).join(gone, "key", "left_anti")
+    return rows.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
