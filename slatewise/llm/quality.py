@@ -31,7 +31,7 @@ ROUNDS = 3
 SURE = 0.97  # calibrated probability from which a view teaches the other
 KEEP = 0.5
 ASIDE = 4  # every fourth labelled document of the sample is kept aside for calibration
-STEPS = 10
+STEPS = 12
 RIDGE = 1e-3
 SEED = 7
 
@@ -112,14 +112,24 @@ def _features(rows: DataFrame, keep: list[str], meta: tuple[str, str, str]) -> D
     return rows.mapInArrow(run, schema)
 
 
-def _newton(z: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Weights of a small logistic model, offset last, of the documents kept aside."""
+def _newton(z: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Weights of a small logistic model, offset last, of the documents kept aside.
+
+    The targets are drawn in from 0 and 1 by one document of each class, and a step that does not lower the
+    loss is halved, so that a few well separated documents do not lead to boundless weights.
+    """
     x = np.column_stack([z, np.ones(len(z))])
+    up, down = y.sum(), (1 - y).sum()
+    aim = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    loss = lambda w: np.mean(np.logaddexp(0, x @ w) - aim * (x @ w)) + reg * w @ w / 2
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grade = x.T @ (p - y) / len(y) + reg * w
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + reg * np.eye(len(w)), grade)
+        grade = x.T @ (p - aim) / len(y) + reg * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + reg * np.eye(len(w)), grade)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
     return w
 
 
@@ -144,34 +154,42 @@ def _examples(batch: pa.RecordBatch, teachers: tuple[View, View] | None, edge: f
 
 
 def _fit(rows: DataFrame, teachers: tuple[View, View] | None, edge: float) -> tuple[View, View]:
-    """Both views by Newton's method.  A step is one pass over the sample: each partition sums its gradients
-    and curvatures, and the driver adds one row per partition."""
+    """Both views by Newton's method.  A step is one pass over the sample: each partition sums its losses,
+    gradients and curvatures, and the driver adds one row per partition.  A step that raised the loss is
+    halved."""
     sizes = TEXT_SIZE + 1, META_SIZE + 1
-    weights, ridge = [np.zeros(d) for d in sizes], [None, None]
+    weights, best, least, ridge = [np.zeros(d) for d in sizes], [None, None], [np.inf, np.inf], [None, None]
     for _ in range(STEPS):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = [(np.zeros(d), np.zeros((d, d)), np.zeros(1)) for d in sizes]
+            sums = [(np.zeros(d), np.zeros((d, d)), np.zeros(2)) for d in sizes]
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 for w, (g, h, n), (x, y) in zip(weights, sums, _examples(batch, teachers, edge)):
                     x = np.column_stack([x, np.ones(len(x))])
-                    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                    z = x @ w
+                    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                     g += x.T @ (p - y)
                     h += (x * (p * (1 - p))[:, None]).T @ x
-                    n += len(y)
+                    n += len(y), (np.logaddexp(0, z) - y * z).sum()
             flat = np.concatenate([part.ravel() for view in sums for part in view])
             yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["sums"])
 
         parts = rows.mapInArrow(run, "sums binary").collect()  # one row for each of the sample's few partitions
         total, at = sum(np.frombuffer(r["sums"]) for r in parts), 0
         for k, d in enumerate(sizes):
-            g, h, n = total[at:at + d], total[at + d:at + d + d * d].reshape(d, d), max(1.0, total[at + d + d * d])
-            at += d + d * d + 1
+            g, h = total[at:at + d], total[at + d:at + d + d * d].reshape(d, d)
+            n, loss = max(1.0, total[at + d + d * d]), total[at + d + d * d + 1]
+            at += d + d * d + 2
             if ridge[k] is None:  # at weight 0 the curvature is a quarter of each feature's mean square
                 ridge[k] = RIDGE * 4 * np.diag(h) / n + 1e-9
+            loss = loss / n + ridge[k] @ weights[k] ** 2 / 2
+            if loss > least[k]:
+                weights[k] = (weights[k] + best[k]) / 2
+                continue
+            best[k], least[k] = weights[k], loss
             weights[k] = weights[k] - np.linalg.solve(h / n + np.diag(ridge[k]), g / n + ridge[k] * weights[k])
-    return tuple(View(w[:-1], float(w[-1])) for w in weights)
+    return tuple(View(w[:-1], float(w[-1])) for w in best)
 
 
 def _calibrated(views: tuple[View, View], rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:

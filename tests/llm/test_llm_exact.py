@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -42,7 +43,7 @@ def test_block_naming(spark, block):
     texts += ["", None, " ", "\t\n", "abcd" * 9, "abcd" * 9 + "x", "abcd" * 8, "abcd  abcd", "abcd\tabcd", "é" * 20]
     data = [(i, t) for i, t in enumerate(texts)] + [(None, "abcd" * 9), (3, texts[3]), (3, "other"), (None, "alone")]
     got = exact_dedup.exact_duplicates(docs(spark, data), block_chars=block).collect()
-    norm = lambda t: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = collections.defaultdict(list)
     for i, t in data:
         groups[norm(t)].append(i)
