@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,9 +100,40 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """One string that tells a row's id and text, null ids among them."""
-    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.sha2(whole(text_col), 256))
+    """A 64-bit name of a row's id and text."""
+    return F.xxhash64(F.col(id_col), whole(text_col))
 
 
 def as_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+MAP_BITS = 28
+
+
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """A bit for the low ``MAP_BITS`` bits of each value of the only column, a long: 32 MB whatever the table.
+
+    A test against it may let other values through, the more the fuller it is, and never loses one.  It saves
+    shuffling rows that a join would drop, and must be followed by that join.
+    """
+    low = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    bit = F.expr(f"shiftleft(1L, cast(`{keys.columns[0]}` & 63 as int))")
+    words = keys.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**22 rows at most
+    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def marked(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    low = values.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+    return (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+
+
+def only_marked(df: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
+    """The rows of ``df`` whose ``key``, a long without nulls, may be in the bit map."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(marked(b.column(key).to_numpy(), bits)))
+
+    return df.mapInArrow(run, df.schema)
