@@ -40,7 +40,7 @@ select impression_id,
        case when articles is not null then array_to_string(list_concat([0,0,0,0,0], articles)[-5:], ',') end as history
 from br_behaviors left join br_history using (user_id)""")
 def _(s):
-    df = tables.behaviors_with_history(s.impressions(), s.histories(5), 5, 0)
+    df = tables.behaviors_with_history(s.impressions(), s.histories(), 5, 0)
     return df.select(S.IMPRESSION, lists.text(S.HISTORY_ARTICLES).alias("history"))
 
 
@@ -48,19 +48,18 @@ def _(s):
 select impression_id, array_to_string(articles[-3:], ',') as history, round(list_avg(br_history.reads[-3:]), 6) as mean_read_time
 from br_behaviors left join br_history using (user_id)""")
 def _(s):
-    df = tables.behaviors_with_feature_history(s.impressions(), s.histories(30), 3)
+    df = tables.behaviors_with_feature_history(s.impressions(), s.histories(), 3)
     return df.select(S.IMPRESSION, lists.text(S.HISTORY_ARTICLES).alias("history"),
                      lists.mean(S.HISTORY_READ_TIMES).alias("mean_read_time"))
 
 
 @query("src_7_attach_embeddings", """
-select p_partkey as article_id, len(embedding)::bigint as dims, round(embedding[1]::double, 6) as first_value
-from part left join embeddings on p_partkey = vec_id""")
+select p_partkey as article_id, i - 1 as dim, round(v::double, 6) as value
+from part left join (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) on p_partkey = vec_id""")
 def _(s):
     vecs = s.table("embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", S.ARTICLE)
     df = tables.attach_embeddings(s.articles().select(S.ARTICLE), vecs)
-    return df.select(S.ARTICLE, F.size("embedding").alias("dims"),
-                     F.try_element_at("embedding", F.lit(1)).alias("first_value"))
+    return df.select(S.ARTICLE, F.posexplode_outer("embedding").alias("dim", "value"))
 
 
 @query("snk_2_submission_lines", """
@@ -208,20 +207,19 @@ def _(s):
 
 
 @query("flt_12_same_list_everywhere", """
-select count(distinct array_to_string(inview, ',')) as n_lists,
-       count(distinct array_to_string(inview, ',')) = 1 as constant from br_behaviors""")
+select min(inview) = max(inview) as constant, min(inview) = [1, 2] and max(inview) = [1, 2] as equals_given from br_behaviors""")
 def _(s):
-    return P.same_list_everywhere(s.behaviors(), S.INVIEW)
+    return P.same_list_everywhere(s.behaviors(), S.INVIEW, given=[1, 2])
 
 
 # ---- joins
 
 
 @query("jn_1_behaviors_history", """
-select impression_id, case when len(articles) > 30 then 30 else len(articles) end::bigint as history_len, articles[-1] as last_article
+select impression_id, len(articles)::bigint as history_len, articles[-1] as last_article
 from br_behaviors left join br_history using (user_id)""")
 def _(s):
-    df = s.impressions().join(s.histories(30), S.USER, "left")
+    df = s.impressions().join(s.histories(), S.USER, "left")
     return df.select(S.IMPRESSION, F.size(S.HISTORY_ARTICLES).alias("history_len"),
                      F.try_element_at(S.HISTORY_ARTICLES, F.lit(-1)).alias("last_article"))
 
@@ -260,14 +258,14 @@ uv as (select user_id, list(v order by i) as embedding, sqrt(sum(v * v)) as embe
 
 @query("jn_4_user_vectors_or_zero", """
 select u.user_id, round(coalesce(embedding_norm, 2.220446049250313e-16), 6) as norm,
-       round(coalesce(embedding[1], 0.0), 6) as first_value
-from (select distinct o_custkey as user_id from orders) u left join uv using (user_id)""", USER_VECTORS)
+       round(coalesce(v, 0.0), 6) as value, coalesce(i - 1, 0) as dim
+from (select distinct o_custkey as user_id from orders) u left join uv using (user_id) left join um using (user_id)""", USER_VECTORS)
 def _(s):
     clicks = s.slotless().filter(F.col(S.LABEL) == 1)
     users = content.user_vectors(clicks, s.embeddings())
     joined = s.impressions().select(S.USER).distinct().join(users, S.USER, "left")
-    return joined.select(S.USER, F.coalesce("embedding_norm", F.lit(vectors.EPSILON)).alias("norm"),
-                         F.coalesce(F.element_at("embedding", 1), F.lit(0.0)).alias("first_value"))
+    filled = F.coalesce("embedding", F.array(F.lit(0.0)))
+    return joined.select(S.USER, F.coalesce("embedding_norm", F.lit(vectors.EPSILON)).alias("norm"), F.posexplode(filled).alias("dim", "value"))
 
 
 @query("jn_5_article_vectors", """
@@ -309,6 +307,16 @@ def _(s):
     return predictions.join(s.impressions().select(S.IMPRESSION, S.USER), S.IMPRESSION)
 
 
+@query("jn_8_unmatched_predictions", """
+select count(*) as predictions, count(*) filter (where b.impression_id is null) as unmatched
+from (select impression_id + 1 as impression_id from br_candidates) left join (select o_orderkey as impression_id from orders) b using (impression_id)""")
+def _(s):
+    predictions = s.slotless().select((F.col(S.IMPRESSION) + 1).alias(S.IMPRESSION))
+    known = s.impressions().select(S.IMPRESSION, F.lit(True).alias("known"))
+    return predictions.join(known, S.IMPRESSION, "left").agg(
+        F.count(F.lit(1)).alias("predictions"), F.count_if(F.col("known").isNull()).alias("unmatched"))
+
+
 @query("jn_9_candidate_metadata", """
 select impression_id, pos, category, premium::bigint as premium, round(sentiment_score, 6) as sentiment_score
 from br_candidates left join br_articles using (article_id)""")

@@ -1,6 +1,5 @@
 """Recommenders, ranking metrics and training tables."""
 
-import os
 import uuid
 
 from pyspark.ml.functions import vector_to_array
@@ -17,7 +16,6 @@ from slatewise.operators import lookup as K
 from slatewise.plans import collaborative, content, ensemble, encoding, features, history_length
 from slatewise.plans import metrics as M
 from slatewise.plans.popularity import item_statistics, popularity_predictions, popularity_scores
-from slatewise.session import ensure_checkpoint_dir
 
 HEAD = [S.IMPRESSION, S.POS]
 
@@ -276,7 +274,7 @@ def _(s):
 @query("rec_3_collaborative")
 def _(s):
     clicks = s.slotless().filter(F.col(S.LABEL) == 1)
-    model, users, items = collaborative.fit(clicks, factors=10, iterations=5)
+    model, users, items = collaborative.fit(clicks)
     return collaborative.scores(model, users, items, s.slotless())
 
 
@@ -292,13 +290,12 @@ def _(s):
 
 
 @query("rec_5_labeled_lists", """
-select impression_id, string_agg(label::varchar, ',' order by pos) as clicked_labels,
+select impression_id, pos // 4 as segment, string_agg(label::varchar, ',' order by pos) as clicked_labels,
        string_agg((round(coalesce(score, 0.0), 3) + 0.0)::varchar, ',' order by pos) as predicted_score
-from br_candidates left join ct using (user_id, article_id) group by 1""", CONTENT)
+from br_candidates left join ct using (user_id, article_id) group by 1, 2""", CONTENT)
 def _(s):
-    s.check_list_lengths()
-    folded = L.labeled_lists(L.attach_scores(s.candidates(), content_model(s)), check=False)
-    return folded.select(S.IMPRESSION, lists.text("clicked_labels").alias("clicked_labels"), lists.text(
+    folded = L.labeled_segments(L.attach_scores(s.candidates(), content_model(s)), size=4)
+    return folded.select(S.IMPRESSION, "segment", lists.text("clicked_labels").alias("clicked_labels"), lists.text(
         F.transform("predicted_score", lambda x: F.round(x, 3))).alias("predicted_score"))
 
 
@@ -322,8 +319,7 @@ def _(s):
 
 @query("rec_8_experiment")
 def _(s):
-    base = ensure_checkpoint_dir(s.spark)
-    folder = os.path.join(base, f"experiment-{uuid.uuid4().hex}")
+    folder = f"{s.spark.conf.get('spark.sql.warehouse.dir')}/experiment-{uuid.uuid4().hex}"
     long = s.candidates()
     models = {
         "popularity": lambda: popularity_predictions(long, popularity(s)),
@@ -363,10 +359,8 @@ def _(s):
 
 INDEX = """
 ix as (select vec_id as article_id, row_number() over (order by vec_id) as index from embeddings),
-hs as (select user_id, list(coalesce(index, 0) order by r desc) as history from (
-         select user_id, article_id, row_number() over (partition by user_id
-           order by impression_time desc, impression_id desc, pos desc) as r from br_clicks)
-       left join ix using (article_id) where r <= 5 group by 1),
+hs as (select user_id, list(coalesce(index, 0) order by impression_time, impression_id, pos) as history
+       from br_clicks left join ix using (article_id) group by 1),
 iv as (select impression_id, list(coalesce(index, 0) order by pos) as inview
        from br_candidates left join ix using (article_id) group by 1)
 """
@@ -376,17 +370,19 @@ def article_codes(s):
     return A.dense_codes(s.table("embeddings", "vec_id").withColumnRenamed("vec_id", S.ARTICLE), S.ARTICLE, "index", start=1)
 
 
-def with_history(s, size=5):
-    return s.behaviors().join(s.histories(size).select(S.USER, S.HISTORY_ARTICLES), S.USER, "left")
+def with_history(s):
+    return s.behaviors().join(s.histories().select(S.USER, S.HISTORY_ARTICLES), S.USER, "left")
 
 
 @query("trn_2_index_table", """
-select row_number() over (order by vec_id) as index, vec_id as article_id, round(embedding[1]::double, 6) as first_value from embeddings
-union all select 0, null, round(avg(embedding[1]::double), 6) from embeddings""")
+select index, vec_id as article_id, i - 1 as dim, round(v::double, 6) as value
+from (select row_number() over (order by vec_id) as index, vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings)
+union all select 0, null, i - 1, round(avg(v::double), 6)
+from (select unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) group by i""")
 def _(s):
     table = K.index_table(s.table("embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", S.ARTICLE),
                           S.ARTICLE, "embedding", "mean")
-    return table.select("index", S.ARTICLE, F.element_at("embedding", 1).alias("first_value"))
+    return table.select("index", S.ARTICLE, F.posexplode("embedding").alias("dim", "value"))
 
 
 @query("trn_3_training_lists", """
@@ -426,10 +422,9 @@ select b.impression_id, array_to_string(coalesce(s_h, []), ',') as size_article_
        array_to_string(coalesce(c_h, []), ',') as subcategory_article_id_fixed,
        array_to_string(coalesce(c_i, []), ',') as subcategory_article_ids_inview
 from br_behaviors b
-left join (select user_id, list(size order by r desc) as s_h, list(subcategory order by r desc) as c_h from (
-             select user_id, article_id, row_number() over (partition by user_id
-               order by impression_time desc, impression_id desc, pos desc) as r from br_clicks)
-           join br_articles using (article_id) where r <= 5 group by 1) using (user_id)
+left join (select user_id, list(size order by impression_time, impression_id, pos) as s_h,
+                  list(subcategory order by impression_time, impression_id, pos) as c_h
+           from br_clicks join br_articles using (article_id) group by 1) using (user_id)
 left join (select impression_id, list(size order by pos) as s_i, list(subcategory order by pos) as c_i
            from br_candidates join br_articles using (article_id) group by 1) i on i.impression_id = b.impression_id""")
 def _(s):
@@ -437,10 +432,13 @@ def _(s):
     return views.select(S.IMPRESSION, *[lists.text(c).alias(c) for c in views.columns if c != S.IMPRESSION])
 
 
-@query("trn_7_shuffled_rows", "select impression_id, pos, label::bigint as label from br_candidates")
+@query("trn_7_shuffled_rows", """
+select impression_id, pos, label::bigint as label, article_id, len(articles)::bigint as history_len, array_to_string(articles, ',') as history
+from br_candidates left join br_history using (user_id)""")
 def _(s):
     rows = K.scoring_rows(with_history(s), S.HISTORY_ARTICLES)
-    return P.shuffle_rows(rows, 23, *HEAD).select(*HEAD, S.LABEL)
+    return P.shuffle_rows(rows, 23, *HEAD).select(*HEAD, S.LABEL, S.ARTICLE, F.size(S.HISTORY_ARTICLES).alias("history_len"),
+                                                  lists.text(S.HISTORY_ARTICLES).alias("history"))
 
 
 # ---- features
@@ -460,57 +458,89 @@ def _(s):
 
 
 def feature_rows(s):
-    clicks = s.slotless().filter(F.col(S.LABEL) == 1)
+    """All features from one history, the whole one: its lists and its categories are the same clicks."""
+    clicks = s.clicks()
     pairs = features.user_categories(clicks, s.articles())
-    reader = s.table("customer", "c_custkey", "c_nationkey", "c_acctbal").select(
-        F.col("c_custkey").alias(S.USER), F.col("c_nationkey").alias("age"), (F.col("c_acctbal") > 0).alias("is_subscriber"))
+    history = s.histories().withColumn(S.HISTORY_SCROLLS, F.transform(S.HISTORY_READ_TIMES, lambda x: x * 2))
+    nation, segment = F.col("c_nationkey"), F.col("c_mktsegment")
+    reader = s.table("customer", "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment").select(
+        F.col("c_custkey").alias(S.USER), nation.alias("age"), (F.col("c_acctbal") > 0).alias("is_subscriber"),
+        (segment == "BUILDING").alias("is_sso_user"), F.when(nation % 3 < 2, nation % 3).alias("gender"), (nation % 4).alias("device_type"))
     behaviors = s.behaviors().join(reader, S.USER, "left")
-    articles = s.articles().withColumn("published_time", F.lit("1994-12-31 12:00:00").cast("timestamp_ntz"))
-    return features.feature_table(behaviors, s.histories(30), articles, pairs)
-
-
-@query("fea_2_feature_table", """
-select c.impression_id, c.user_id, pos, c.article_id, label::bigint as label, impression_time, c_nationkey::bigint as age,
-       (c_acctbal > 0)::int::bigint as is_subscriber, hour(impression_time) as hour_of_day, isodow(impression_time) as day_of_week,
-       n_in as inview_len, coalesce(hl, 0) as history_len, round(hr, 6) as history_avg_read_time,
-       coalesce(uc.n, 0) as num_history_categories, a.category, premium::bigint as premium,
-       round(total_pageviews, 6) as total_pageviews, round(sentiment_score, 6) as sentiment_score,
-       round(epoch(impression_time - timestamp '1994-12-31 12:00:00') / 3600.0, 6) as article_age_hours,
-       (case when up.user_id is null then 0 else 1 end)::bigint as category_match
-from br_candidates c
-join (select impression_id, count(*) as n_in from br_candidates group by 1) using (impression_id)
-left join customer on c_custkey = c.user_id
-left join (select user_id, count(*) as hl, avg(read_time) as hr from (
-             select user_id, read_time, row_number() over (partition by user_id
-               order by impression_time desc, impression_id desc, pos desc) as r from br_clicks) where r <= 30 group by 1) h
-  on h.user_id = c.user_id
-left join uc on uc.user_id = c.user_id
-left join br_articles a on a.article_id = c.article_id
-left join up on up.user_id = c.user_id and up.category = a.category""", PAIRS)
+    totals = s.slotless().groupBy(S.ARTICLE).agg(F.count(F.lit(1)).alias("total_inviews"), F.sum(S.READ_TIME).alias("total_read_time"))
+    articles = s.articles().join(totals, S.ARTICLE, "left").withColumn(
+        "published_time", F.lit("1994-12-31 12:00:00").cast("timestamp_ntz"))
+    return features.feature_table(behaviors, history, articles, pairs)
+
+
+FEATURE_SQL = PAIRS + """,
+hl as (select user_id, count(*) as n, avg(read_time) as reads from br_clicks group by 1),
+tot as (select article_id, count(*) as views, sum(read_time) as reads from br_candidates group by 1),
+ft as (
+  select c.impression_id, c.user_id, pos, c.article_id, label::bigint as label, impression_time, c_nationkey::bigint as age,
+         (c_acctbal > 0)::int::bigint as is_subscriber, (c_mktsegment = 'BUILDING')::int::bigint as is_sso_user,
+         case when c_nationkey % 3 < 2 then (c_nationkey % 3)::bigint end as gender, (c_nationkey % 4)::bigint as device_type,
+         hour(impression_time) as hour_of_day, isodow(impression_time) as day_of_week, n_in as inview_len,
+         coalesce(hl.n, 0) as history_len, round(hl.reads, 6) as history_avg_read_time, round(hl.reads * 2, 6) as history_avg_scroll_pct,
+         coalesce(uc.n, 0) as num_history_categories, a.category, premium::bigint as premium, tot.views as total_inviews,
+         round(total_pageviews, 6) as total_pageviews, round(tot.reads, 6) as total_read_time, round(sentiment_score, 6) as sentiment_score,
+         round(epoch(impression_time - timestamp '1994-12-31 12:00:00') / 3600.0, 6) as article_age_hours,
+         (case when up.user_id is null then 0 else 1 end)::bigint as category_match
+  from br_candidates c
+  join (select impression_id, count(*) as n_in from br_candidates group by 1) using (impression_id)
+  left join customer on c_custkey = c.user_id left join hl on hl.user_id = c.user_id left join uc on uc.user_id = c.user_id
+  left join br_articles a on a.article_id = c.article_id left join tot on tot.article_id = c.article_id
+  left join up on up.user_id = c.user_id and up.category = a.category)
+"""
+
+
+@query("fea_2_feature_table", "select * from ft", FEATURE_SQL)
 def _(s):
     return feature_rows(s)
 
 
-@query("fea_3_feature_vector")
+@query("fea_3_feature_vector", "select impression_id, pos, " + ", ".join(
+    f"coalesce({'cc.code' if n == 'category' else 'ft.' + n}::double, 'nan'::double) as {n}" for n in features.FEATURES) + """
+from ft left join (select category, row_number() over (order by category) - 1 as code from (select distinct category from br_articles)) cc
+  using (category)""", FEATURE_SQL)
 def _(s):
-    rows = feature_rows(s).drop("category")
-    return features.feature_vector(rows).select(*HEAD, F.size(vector_to_array("features")).alias("width"))
+    rows = features.feature_vector(features.with_codes(feature_rows(s), features.category_codes(s.articles())))
+    vector = vector_to_array("features")
+    return rows.select(*HEAD, *[F.get(vector, F.lit(i)).alias(n) for i, n in enumerate(features.FEATURES)])
+
 
+def boosted_trees(s, trees, depth):
+    """Candidates of the last fifth of the days, scored by trees fitted on those before."""
+    rows = features.with_codes(feature_rows(s), features.category_codes(s.articles()))
+    cutoff = s.impressions().agg(F.percentile_approx(F.unix_date(F.to_date(S.TIME)), 0.8)).first()[0]
+    day = F.unix_date(F.to_date(S.TIME))
+    model = features.fit_trees(rows.filter(day < cutoff), trees=trees, depth=depth)
+    return features.score_trees(model, rows.filter(day >= cutoff))
 
+
+# 300 trees of depth 6, the defaults, take too long for a query that is checked often; the README has the figure
 @query("fea_4_boosted_trees")
 def _(s):
-    rows = feature_rows(s)
-    model = features.fit_trees(rows, trees=3, depth=3)
-    return features.score_trees(model, rows).select(*HEAD, S.LABEL, S.SCORE)
+    return boosted_trees(s, trees=10, depth=4).select(*HEAD, S.LABEL, S.SCORE)
 
 
 @query("fea_5_attach_flat_scores", """
-select impression_id, case when len(reads) > 0 then array_to_string(list_transform(reads, lambda x: x / 50.0), ',') end as scores
-from br_behaviors""")
+select o_orderkey as impression_id, segment, scores from orders left join (
+  select impression_id, pos // 4 as segment, string_agg((read_time / 50.0)::varchar, ',' order by pos) as scores
+  from br_candidates group by 1, 2) on impression_id = o_orderkey""")
 def _(s):
-    s.check_list_lengths()
-    df = L.attach_flat_scores(s.impressions().select(S.IMPRESSION), scored(s).select(*HEAD, S.SCORE), check=False)
-    return df.select(S.IMPRESSION, lists.text("scores").alias("scores"))
+    df = L.attach_score_segments(s.impressions().select(S.IMPRESSION), scored(s).select(*HEAD, S.SCORE), size=4)
+    return df.select(S.IMPRESSION, "segment", lists.text("scores").alias("scores"))
+
+
+@query("udf_4_own_metric", """
+select 'hit' as metric, round(avg((label = 1)::int), 6) as value from (
+  select impression_id, label, row_number() over (partition by impression_id order by score desc, pos) as r from br_long) where r = 1""")
+def _(s):
+    def hit(labels, scores):
+        return labels[scores.argmax()]
+
+    return M.python_metric(scored(s), "hit", hit)
 
 
 @query("str_4_text_vectors")

@@ -74,7 +74,7 @@ select (select n from (select n, row_number() over (order by n) - 1 as i, count(
 def _(s):
     counts = A.item_counts(s.slotless().filter(F.col(S.LABEL) == 1))
     low, mid = A.nearest_quantile(counts, "n", 0.1), A.nearest_quantile(counts, "n", 0.5)
-    return counts.groupBy().agg(F.count(F.lit(1)).alias("m")).select(low.alias("q10"), mid.alias("q50"))
+    return counts.groupBy().agg(F.count(F.lit(1)).alias("m")).select(F.lit(low).alias("q10"), F.lit(mid).alias("q50"))
 
 
 @query("agg_5_global_ratio", """
@@ -94,13 +94,11 @@ uv as (select user_id, list(v order by i) as embedding, sqrt(sum(v * v)) as embe
 
 
 @query("agg_6_user_mean_vectors", """
-select user_id, round(embedding_norm, 6) as embedding_norm, round(embedding[1], 6) as v_first,
-       round(embedding[-1], 6) as v_last, round(list_sum(embedding), 6) as v_sum from uv""", USER_VECTORS)
+select user_id, round(embedding_norm, 6) as embedding_norm, i - 1 as dim, round(v, 6) as value
+from um join uv using (user_id)""", USER_VECTORS)
 def _(s):
     users = content.user_vectors(s.slotless().filter(F.col(S.LABEL) == 1), s.embeddings())
-    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
-    return users.select(S.USER, "embedding_norm", F.element_at("embedding", 1).alias("v_first"),
-                        F.element_at("embedding", -1).alias("v_last"), total.alias("v_sum"))
+    return users.select(S.USER, "embedding_norm", F.posexplode("embedding").alias("dim", "value"))
 
 
 @query("agg_7_column_means", """
@@ -127,11 +125,11 @@ def _(s):
 
 
 @query("agg_10_fold_lists", """
-select impression_id, array_to_string(labels, ',') as labels, array_to_string(inview, ',') as articles from br_lists""")
+select impression_id, pos // 4 as segment, string_agg(label::varchar, ',' order by pos) as labels,
+       string_agg(article_id::varchar, ',' order by pos) as articles from br_candidates group by 1, 2""")
 def _(s):
-    s.check_list_lengths()
-    folded = L.to_lists(s.candidates(), [S.IMPRESSION], {S.LABEL: "labels", S.ARTICLE: "articles"}, check=False)
-    return folded.select(S.IMPRESSION, lists.text("labels").alias("labels"), lists.text("articles").alias("articles"))
+    folded = L.to_list_segments(s.candidates(), [S.IMPRESSION], {S.LABEL: "labels", S.ARTICLE: "articles"}, size=4)
+    return folded.select(S.IMPRESSION, "segment", lists.text("labels").alias("labels"), lists.text("articles").alias("articles"))
 
 
 @query("agg_11_history_time_range", """
@@ -199,15 +197,25 @@ def _(s):
     return A.negative_ratio(s.slotless())
 
 
-@query("agg_18_observed_step", "select count(*) as n from br_candidates where read_time >= 30")
+@query("agg_18_observed_step", """
+select count(*) as rows_before, count(*) filter (where read_time >= 30) as rows_after from br_candidates""")
 def _(s):
-    kept = P.min_value(P.column_shape(s.slotless(), Observation("before"), "rows"), 30)
-    return kept.agg(F.count(F.lit(1)).alias("n"))
+    seen = Observation("before")
+    kept = P.min_value(P.column_shape(s.slotless(), seen, "rows"), 30).agg(F.count(F.lit(1)).alias("rows_after"))
+    after = kept.first()[0]  # the observation is filled by this action
+    return kept.select(F.lit(seen.get["rows"]).alias("rows_before"), F.lit(after).alias("rows_after"))
 
 
-@query("agg_19_describe")
+@query("agg_19_describe", """
+select summary, round(p_size, 6) as p_size, round(p_retailprice, 6) as p_retailprice from (
+  select 'count' as summary, count(p_size)::double as p_size, count(p_retailprice)::double as p_retailprice from part
+  union all select 'mean', avg(p_size), avg(p_retailprice) from part
+  union all select 'stddev', stddev_samp(p_size), stddev_samp(p_retailprice) from part
+  union all select 'min', min(p_size)::double, min(p_retailprice) from part
+  union all select 'max', max(p_size)::double, max(p_retailprice) from part)""")
 def _(s):
-    return A.describe(s.table("part"), "p_size", "p_retailprice")
+    table = A.describe(s.table("part"), "p_size", "p_retailprice").filter(~F.col("summary").endswith("%"))
+    return table.select("summary", *[F.col(c).cast("double").alias(c) for c in ("p_size", "p_retailprice")])
 
 
 # ---- windows

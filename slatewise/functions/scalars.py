@@ -60,10 +60,6 @@ def interval_text(seconds: Column) -> Column:
     )
 
 
-def now_text() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd-HH-mm-ss")
-
-
 def smoothed_ratio(part: Column, whole: Column, prior: Column, strength: float) -> Column:
     """``part / whole`` pulled toward ``prior`` as if ``strength`` more trials had been seen."""
     return (part + F.lit(float(strength)) * prior) / (whole + F.lit(float(strength)))

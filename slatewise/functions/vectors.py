@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +36,10 @@ def unit(a: Column | str) -> Column:
     return F.element_at(scaled, 1)
 
 
-def distance(kind: str, a: Column, b: Column) -> Column:
-    """Pairwise distance by name: ``cosine``, ``euclidean`` or ``manhattan``."""
+def distance(kind: str | Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
+    """Pairwise distance by name (``cosine``, ``euclidean`` or ``manhattan``) or by a function of two columns."""
+    if callable(kind):
+        return kind(a, b)
     if kind == "cosine":
         return 1 - F.coalesce(cosine(a, b), F.lit(0.0))
     gaps = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))

@@ -12,10 +12,8 @@ from pyspark.sql.window import Window as W
 from slatewise import schema as S
 from slatewise.functions import scalars
 from slatewise.functions.lists import field
-from slatewise.operators.skew import global_row_number
-
-
-SMALL = 100_000  # distinct values one task may sort
+from slatewise.operators.skew import _SLOT_BITS, global_row_number
+from slatewise.session import ensure_checkpoint_dir
 
 
 def item_counts(df: DataFrame, item: str = S.ARTICLE, name: str = "n") -> DataFrame:
@@ -36,44 +34,47 @@ def engagement(df: DataFrame, item: str = S.ARTICLE, columns: Sequence[str] = (S
     return clean.groupBy(item).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
 
 
-def nearest_quantile(df: DataFrame, column: str, q: float) -> Column:
-    """The value at sorted position round(q * (rows - 1)), as a scalar subquery.
+def nearest_quantile(df: DataFrame, column: str, q: float) -> float | int | None:
+    """The value at sorted position round(q * (rows - 1)); null for an empty column.
 
-    Equal values are counted together first, then the cumulative counts decide.
+    Equal values are counted together first, then the cumulative counts decide.  Runs its jobs at once.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__times"))
-    rows, distinct = counts.agg(F.sum("__times"), F.count(F.lit(1))).first()
+    ordered = running_sum(counts, [column], "__times", "__upto")
+    rows = ordered.agg(F.max("__upto")).first()[0]
     target = math.floor(q * ((rows or 0) - 1) + 0.5) + 1
-    if distinct <= SMALL:
-        ordered = counts.withColumn("__upto", F.sum("__times").over(W.orderBy(column)))
-    else:
-        ordered = running_sum(counts, [column], "__times", "__upto")
-    return ordered.filter(F.col("__upto") >= target).select(F.min(column)).scalar()
+    return ordered.filter(F.col("__upto") >= target).agg(F.min(column)).first()[0]
 
 
 def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
     """Inclusive running sum of a whole table in a unique order, without a one-partition window.
 
-    Rows are cut into at most 1000 blocks; sums run within blocks and over the few block totals.
+    Rows are range-shuffled and sorted; sums run within the ranges, and each range starts from the
+    total of those before it, one row per range.  The sorted rows are checkpointed at once.
     """
-    numbered = global_row_number(df, list(order), "__rn", start=0)
-    size = max(10_000, -(-numbered.count() // 1_000))
-    blocked = numbered.withColumn("__block", F.floor(F.col("__rn") / size))
-    sums = blocked.groupBy("__block").agg(F.sum(value).alias("__sum"))
-    ahead = F.sum("__sum").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sums.select("__block", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
-    inside = F.sum(value).over(W.partitionBy("__block").orderBy("__rn"))
-    return (blocked.join(F.broadcast(offsets), "__block")
-            .withColumn(name, F.col("__ahead") + inside).drop("__rn", "__block", "__ahead"))
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("__place", F.monotonically_increasing_id())
+              .withColumn("__range", F.shiftright("__place", _SLOT_BITS)).checkpoint())
+    sums = placed.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    ahead = F.sum("__sum").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sums.select("__range", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    inside = F.sum(value).over(W.partitionBy("__range").orderBy("__place"))
+    return (placed.join(F.broadcast(offsets), "__range")
+            .withColumn(name, F.col("__ahead") + inside).drop("__range", "__place", "__ahead"))
 
 
 BLOCK = 16  # vector entries summed per row of the blockwise aggregate
 
 
 def vector_sums(df: DataFrame, keys: Sequence[str], vector: str, name: str = "sum", count: str = "n",
-                others: dict[str, Column] | None = None) -> DataFrame:
+                others: dict[str, Column] | None = None, present: str | None = None) -> DataFrame:
     """(keys..., name, count, others...): element-wise sum of the non-null vectors of each key.
 
+    A null entry is left out of its dimension's sum, and a dimension that is null in all of a key's vectors
+    is null.  Vectors of different lengths count in the dimensions they have; the sum is as long as the
+    longest.  ``present`` names an optional list of the non-null entries per dimension.
+
     Vectors are cut into blocks of a few entries and the blocks summed as plain columns, which
     stays in generated code, is combined map-side, and works for any length.  Per key only the
     summed blocks are put together again.  Keys without any vector stay, with count 0 and an empty
@@ -85,21 +86,31 @@ def vector_sums(df: DataFrame, keys: Sequence[str], vector: str, name: str = "su
     cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(vector, i + 1, F.lit(BLOCK)).alias("part")))
     blocks = df.select(*rest, F.explode_outer(F.when(F.size(vector) > 0, cut)).alias("__b"))
     blocks = blocks.select(*rest, F.col("__b.at").alias("__at"), F.col("__b.part").alias("__part"))
-    entries = [F.sum(F.get("__part", F.lit(i)).cast("double")).alias(f"__s{i}") for i in range(BLOCK)]
+    entry = [F.get("__part", F.lit(i)).cast("double") for i in range(BLOCK)]
+    counted = [F.count(e).alias(f"__c{i}") for i, e in enumerate(entry)] if present else []
     summed = blocks.groupBy(*keys, "__at").agg(
-        F.count("__part").alias(count), *entries, *[e.alias(o) for o, e in others.items()])
-    parts = F.array_compact(F.array(*[f"__s{i}" for i in range(BLOCK)]))
+        F.count("__part").alias(count), F.max(F.size("__part")).alias("__width"),
+        *[F.sum(e).alias(f"__s{i}") for i, e in enumerate(entry)], *counted, *[e.alias(o) for o, e in others.items()])
     filled = F.col("__at").isNotNull()
-    packed = F.when(filled, F.struct("__at", parts.alias("part")))
+
+    def cells(kind: str) -> Column:
+        return F.slice(F.array(*[f"__{kind}{i}" for i in range(BLOCK)]), F.lit(1), F.greatest("__width", F.lit(0)))
+
+    lists = {"part": cells("s")} | ({"some": cells("c")} if present else {})
+    packed = F.when(filled, F.struct("__at", *[c.alias(n) for n, c in lists.items()]))
     folded = summed.groupBy(*keys).agg(
         F.array_sort(F.collect_list(packed)).alias("__parts"), F.max(count).alias(count),
         *[F.first(F.when(filled, F.col(o)), ignorenulls=True).alias(o) for o in others])
-    return folded.select(*keys, F.flatten(F.transform("__parts", field("part"))).alias(name), count, *others)
+    out = [F.flatten(F.transform("__parts", field("part"))).alias(name), count, *others]
+    if present:
+        out.append(F.flatten(F.transform("__parts", field("some"))).alias(present))
+    return folded.select(*keys, *out)
 
 
 def vector_means(df: DataFrame, keys: Sequence[str], vector: str, name: str = "mean") -> DataFrame:
-    sums = vector_sums(df, keys, vector, "__sum", "__n")
-    return sums.select(*keys, F.transform("__sum", lambda x: x / F.col("__n")).alias(name))
+    """Element-wise mean over the entries that are there; null where a dimension has none."""
+    sums = vector_sums(df, keys, vector, "__sum", "__n", present="__some")
+    return sums.select(*keys, F.zip_with("__sum", "__some", lambda x, k: F.try_divide(x, k)).alias(name))
 
 
 def global_ratio(df: DataFrame, part: str, whole: str) -> Column:
@@ -109,11 +120,16 @@ def global_ratio(df: DataFrame, part: str, whole: str) -> Column:
 
 def min_max_scale(df: DataFrame, columns: dict[str, str], to_low: float = 0.0, to_high: float = 1.0,
                   low: float | None = None, high: float | None = None) -> DataFrame:
-    """Each column mapped from its own range (or the given one) onto [to_low, to_high]."""
+    """Each column mapped from its own range (or the given one) onto [to_low, to_high].
+
+    All ranges come from one aggregate row.
+    """
+    ends = [f(name).cast("double").alias(f"{k}{i}") for i, name in enumerate(columns) for k, f in (("lo", F.min), ("hi", F.max))]
+    row = df.agg(F.struct(*ends).alias("r")).scalar() if low is None or high is None else None
     scaled = {}
-    for name, out in columns.items():
-        lo = F.lit(float(low)) if low is not None else df.select(F.min(name).cast("double")).scalar()
-        hi = F.lit(float(high)) if high is not None else df.select(F.max(name).cast("double")).scalar()
+    for i, (name, out) in enumerate(columns.items()):
+        lo = F.lit(float(low)) if low is not None else row[f"lo{i}"]
+        hi = F.lit(float(high)) if high is not None else row[f"hi{i}"]
         scaled[out] = scalars.rescale(F.col(name).cast("double"), lo, hi, to_low, to_high)
     return df.withColumns(scaled)
 
@@ -124,12 +140,14 @@ def max_scale(df: DataFrame, name: str, out: str) -> DataFrame:
 
 
 def softmax(df: DataFrame, score: str, out: str, temperature: float = 1.0) -> DataFrame:
-    """Softmax over the whole column, shifted by its maximum."""
-    top = df.select(F.max(score)).scalar()
-    weight = F.exp((F.col(score) - top) / temperature)
-    weighted = df.withColumn("__w", weight)
-    total = weighted.select(F.sum("__w")).scalar()
-    return weighted.withColumn(out, F.col("__w") / total).drop("__w")
+    """Softmax over the whole column, shifted by its maximum.
+
+    The maximum is read at once, so that the total is the only subquery.
+    """
+    top = df.agg(F.max(score)).first()[0]
+    weight = F.exp((F.col(score) - F.lit(top)) / temperature)
+    total = df.select(F.sum(weight)).scalar()
+    return df.withColumn(out, weight / total)
 
 
 def popularity_share(df: DataFrame, item: str, owner: str) -> DataFrame:

@@ -133,10 +133,18 @@ def shortest_lists(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.size(column) == least)
 
 
-def same_list_everywhere(df: DataFrame, column: str) -> DataFrame:
-    """One row: how many distinct lists there are, and whether it is one."""
-    n = F.count_distinct(F.to_json(F.col(column)))
-    return df.agg(n.alias("n_lists"), (n == 1).alias("constant"))
+def same_list_everywhere(df: DataFrame, column: str, given: Sequence | None = None) -> DataFrame:
+    """One row: whether every row has the same list (``constant``), and with ``given`` whether it is that
+    one (``equals_given``).  Null lists are left out; without any list both are null.
+
+    The least and the greatest list decide, so no list is shuffled.
+    """
+    least, most = F.min(column), F.max(column)
+    out = [(least == most).alias("constant")]
+    if given is not None:
+        wanted = F.array(*[F.lit(x) for x in given]).cast(df.schema[column].dataType)
+        out.append(((least == wanted) & (most == wanted)).alias("equals_given"))
+    return df.agg(*out)
 
 
 # ---- set operations

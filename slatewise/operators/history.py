@@ -13,7 +13,6 @@ from slatewise.functions import lists
 from slatewise.operators.skew import (
     DETECT,
     hot_keys,
-    require_group_bound,
     row_number_in_group,
     split_hot,
     top_n_in_group,
@@ -63,15 +62,11 @@ def fixed_histories(df: DataFrame, cutoff: Column, order: Sequence[str], columns
                     suffix: str = "_fixed") -> DataFrame:
     """One row per user with parallel lists of ``columns`` before the cutoff, oldest first.
 
-    With ``size`` only that many rows per user reach the shuffle; without it the longest list is
-    checked first, and histories too long for a cell are left to ``history_rows``.
+    With ``size`` only that many rows per user reach the shuffle; without it a user's whole history is
+    one cell.  ``history_rows`` gives the same in long form.
     """
     before = df.filter(F.col(time) < cutoff)
-    if size is None:
-        require_group_bound(before, [user])
-        rows = before
-    else:
-        rows = top_n_in_group(before, [user], [F.desc(c) for c in order], size)
+    rows = before if size is None else top_n_in_group(before, [user], [F.desc(c) for c in order], size)
     packed = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                       *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     folded = rows.groupBy(user).agg(F.array_sort(F.collect_list(packed)).alias("__rows"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from slatewise import schema as S
 from slatewise.functions import lists
-from slatewise.operators.skew import require_group_bound
 
 
 def with_click_labels(df: DataFrame, inview: str = S.INVIEW, clicked: str = S.CLICKED,
@@ -41,17 +40,28 @@ def to_long(behaviors: DataFrame, extra: Sequence[str] = (), inview: str = S.INV
     return explode_lists(labelled, [inview, S.LABEL], [S.ARTICLE, S.LABEL])
 
 
-def to_lists(df: DataFrame, keys: Sequence[str], columns: dict[str, str], pos: str = S.POS,
-             check: bool = True) -> DataFrame:
-    """Fold long rows back to aligned lists in ``pos`` order; ``columns`` maps column to list name."""
-    if check:
-        require_group_bound(df, keys)
+def to_lists(df: DataFrame, keys: Sequence[str], columns: dict[str, str], pos: str = S.POS) -> DataFrame:
+    """Fold long rows back to aligned lists in ``pos`` order; ``columns`` maps column to list name.
+
+    A list is one cell, built in one task.  For keys of any size use ``to_list_segments``.
+    """
     packed = F.struct(pos, *columns)
     folded = df.groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("__rows"))
     return folded.select(*keys, *[
         F.transform("__rows", lists.field(c)).alias(name) for c, name in columns.items()])
 
 
+def to_list_segments(df: DataFrame, keys: Sequence[str], columns: dict[str, str], pos: str = S.POS,
+                     size: int = 10_000) -> DataFrame:
+    """(keys..., segment, lists...): the same lists in pieces of ``size`` positions, segment = pos div size.
+
+    ``pos`` counts from 0 without gaps.  No cell holds more than ``size`` entries and a long list is spread
+    over as many groups; laid end to end by segment, the pieces are the list.
+    """
+    cut = df.withColumn("segment", F.floor(F.col(pos) / size).cast("long"))
+    return to_lists(cut, [*keys, "segment"], columns, pos)
+
+
 def attach_scores(candidates: DataFrame, scores: DataFrame, on: Sequence[str] = (S.USER, S.ARTICLE),
                   fill: float | None = 0.0) -> DataFrame:
     """Candidates with the score of their key, which must be unique; missing scores get ``fill``."""
@@ -59,13 +69,24 @@ def attach_scores(candidates: DataFrame, scores: DataFrame, on: Sequence[str] =
     return joined if fill is None else joined.withColumn(S.SCORE, F.coalesce(S.SCORE, F.lit(fill)))
 
 
-def labeled_lists(long: DataFrame, check: bool = True) -> DataFrame:
+LABELED = {S.LABEL: "clicked_labels", S.SCORE: "predicted_score"}
+
+
+def labeled_lists(long: DataFrame) -> DataFrame:
     """(impression_id, clicked_labels, predicted_score) in candidate order."""
-    return to_lists(long, [S.IMPRESSION], {S.LABEL: "clicked_labels", S.SCORE: "predicted_score"}, check=check)
+    return to_lists(long, [S.IMPRESSION], LABELED)
+
+
+def labeled_segments(long: DataFrame, size: int = 10_000) -> DataFrame:
+    """(impression_id, segment, clicked_labels, predicted_score), each at most ``size`` long."""
+    return to_list_segments(long, [S.IMPRESSION], LABELED, size=size)
 
 
-def attach_flat_scores(behaviors: DataFrame, scores: DataFrame, name: str = "scores",
-                       check: bool = True) -> DataFrame:
+def attach_flat_scores(behaviors: DataFrame, scores: DataFrame, name: str = "scores") -> DataFrame:
     """Impressions with a list of externally computed (impression_id, pos, score) rows."""
-    folded = to_lists(scores, [S.IMPRESSION], {S.SCORE: name}, check=check)
-    return behaviors.join(folded, S.IMPRESSION, "left")
+    return behaviors.join(to_lists(scores, [S.IMPRESSION], {S.SCORE: name}), S.IMPRESSION, "left")
+
+
+def attach_score_segments(behaviors: DataFrame, scores: DataFrame, name: str = "scores", size: int = 10_000) -> DataFrame:
+    """The same in pieces: a row per impression and segment, one with a null segment where there are no scores."""
+    return behaviors.join(to_list_segments(scores, [S.IMPRESSION], {S.SCORE: name}, size=size), S.IMPRESSION, "left")

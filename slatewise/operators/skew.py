@@ -17,31 +17,25 @@ from pyspark.sql.window import Window as W
 
 from slatewise.session import ensure_checkpoint_dir
 
-# A key is hot above this many rows ...
+# A key with more rows than this is hot, whatever the size of the table.  There are at most
+# rows / HOT_ROWS such keys: a million in a table of 10^12 rows, some ten megabytes.
 HOT_ROWS = 1_000_000
-# ... and above this fraction of the table, so fewer than HOT_SHARE keys can ever be hot.
-HOT_SHARE = 100_000
 
 DETECT = object()
 
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the row's slot in its low 33 bits
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The keys holding too many rows for one task, or ``None``; always fewer than HOT_SHARE rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> DataFrame | None:
+    """The keys with more than ``min_rows`` rows (``HOT_ROWS``), as a checkpointed table, or ``None``.
 
-    Best called on a base table: its row count then comes from the file footers, and a table no
-    larger than the limit needs no further look.
+    Runs a job: one map-side-combined count per key.
     """
-    if df.count() <= min_rows:
-        return None
+    limit = HOT_ROWS if min_rows is None else min_rows
+    ensure_checkpoint_dir(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total, biggest = counts.agg(F.sum("n"), F.max("n")).first()
-    floor = max(min_rows, (total or 0) // HOT_SHARE)
-    if not biggest or biggest <= floor:
-        return None
-    hot = counts.filter(F.col("n") > floor).select(*keys)
-    return df.sparkSession.createDataFrame(hot.collect(), hot.schema)
+    hot = counts.filter(F.col("n") > limit).select(*keys).checkpoint()
+    return None if hot.isEmpty() else hot
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,19 +126,18 @@ def with_group_values(df: DataFrame, keys: Sequence[str], values: dict[str, Colu
     return cold.withColumns(windowed).unionByName(filled)
 
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def top_n_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int,
                    name: str = "rank") -> DataFrame:
     """First ``n`` rows of each key; Spark's window group limit trims each map task to ``n`` per
-    key before the shuffle, so a hot key sends only a few rows."""
+    key before the shuffle, so a hot key sends only a few rows.
+
+    Spark applies it up to a threshold of the session, which is raised to ``n`` here.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT, "1000")) < n:
+        conf.set(GROUP_LIMIT, str(n))
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
     return ranked.filter(F.col(name) <= n)
-
-
-def require_group_bound(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> None:
-    """Refuse to build list cells longer than ``limit``; the long-form operators have no bound."""
-    if df.count() <= limit:
-        return
-    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if biggest and biggest > limit:
-        raise ValueError(f"a list over {', '.join(keys)} would hold {biggest} elements (limit {limit}); "
-                         "use the long-form operators")

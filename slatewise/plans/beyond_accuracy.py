@@ -5,20 +5,17 @@ Recommendations are long rows (list_id, pos, item); item attributes are a table
 
 from __future__ import annotations
 
-import itertools
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars, vectors
 from slatewise.operators.aggregates import normalized_distribution, vector_means, vector_sums
-from slatewise.operators.skew import global_row_number, require_group_bound
+from slatewise.operators.skew import global_row_number
 from slatewise.schema import require_columns
 
 LIST, ITEM = "list_id", "item"
-MAX_COMBINATIONS = 20_000
 
 
 def _with_attribute(recs: DataFrame, attributes: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
@@ -26,10 +23,11 @@ def _with_attribute(recs: DataFrame, attributes: DataFrame, name: str, keys: Seq
     return recs.select(*keys, ITEM).join(attributes.select(ITEM, name), ITEM, "left")
 
 
-def intralist_diversity(recs: DataFrame, attributes: DataFrame, vector: str = "embedding",
-                        keys: Sequence[str] = (LIST,), distance: str = "cosine") -> DataFrame:
+def intralist_diversity(recs: DataFrame, attributes: DataFrame, vector: str = "embedding", keys: Sequence[str] = (LIST,),
+                        distance: str | Callable[[Column, Column], Column] = "cosine") -> DataFrame:
     """Mean pairwise distance of each list's known items; null when fewer than two are known.
 
+    ``distance`` is a name or a function of two vector columns.
     For the cosine, with unit vectors u, the pairwise sum is n(n-1) + m - |sum u|^2 over n items of
     which m are non-zero: one vector sum per list and no pairs.
     """
@@ -48,9 +46,9 @@ def intralist_diversity(recs: DataFrame, attributes: DataFrame, vector: str = "e
     return sums.select(*keys, value.alias("diversity"))
 
 
-def _pairwise_diversity(rows: DataFrame, vector: str, keys: Sequence[str], distance: str) -> DataFrame:
-    # other distances need the pairs; they are formed inside the row, and the list length is checked
-    require_group_bound(rows, keys, 1_000)
+def _pairwise_diversity(rows: DataFrame, vector: str, keys: Sequence[str],
+                        distance: str | Callable[[Column, Column], Column]) -> DataFrame:
+    # other distances need the pairs of a list; they are formed inside its row
     folded = rows.groupBy(*keys).agg(F.collect_list(vector).alias("__v"))
     n = F.size("__v").cast("double")
 
@@ -82,32 +80,53 @@ def random_subsets(candidates: DataFrame, draws: DataFrame, draw_key: str, n: in
     return drawn.join(numbered, "__slot").select(draw_key, F.col("pos").cast("long").alias("pos"), ITEM)
 
 
-def candidate_diversity(candidates: DataFrame, attributes: DataFrame, n: int, vector: str = "embedding",
-                        distance: str = "cosine", seed: int = 0,
-                        max_combinations: int = MAX_COMBINATIONS) -> DataFrame:
-    """Lowest and highest diversity over n-subsets of the known candidates.
+def all_subsets(items: DataFrame, n: int) -> DataFrame:
+    """(list_id, item): every ``n``-subset of the distinct items.
 
-    All subsets are scored when there are at most ``max_combinations``, else that many random ones.
+    Items are numbered and a subset lists its numbers upwards: each step appends, inside the row, every
+    number above the last.  The numbers then meet the items in an equi-join of n rows per subset.
     """
-    require_columns(attributes, [ITEM, vector])
-    known = candidates.select(ITEM).distinct().join(attributes.select(ITEM), ITEM, "left_semi")
-    size = known.count()
+    numbered = global_row_number(items.select(ITEM).distinct(), [ITEM], "__slot", start=0)
+    size = numbered.count()
     if n > size:
         raise ValueError(f"subset size {n} exceeds the {size} known candidates")
-    spark = candidates.sparkSession
-    if math.comb(size, n) <= max_combinations:
-        # at most max_combinations rows of n slots leave the driver
-        combos = [(i, list(c)) for i, c in enumerate(itertools.combinations(range(size), n))]
-        table = spark.createDataFrame(combos, f"{LIST} bigint, slots array<bigint>")
-        numbered = global_row_number(known, [ITEM], "__slot", start=0)
-        subsets = table.select(LIST, F.explode("slots").alias("__slot")).join(numbered, "__slot").select(LIST, ITEM)
-    else:
-        draws = spark.range(max_combinations).withColumnRenamed("id", LIST)
-        subsets = random_subsets(known, draws, LIST, n, seed)
+    subsets = numbered.select(F.array("__slot").alias("__slots")) if n else numbered.limit(0).select(F.array("__slot").alias("__slots"))
+    for k in range(1, n):
+        last = F.element_at("__slots", -1)
+        above = F.when(last + 1 <= size - n + k, F.sequence(last + 1, F.lit(size - n + k).cast("long")))
+        subsets = subsets.select("__slots", F.explode(above).alias("__next")).select(F.concat("__slots", F.array("__next")).alias("__slots"))
+    long = subsets.select(F.array_join("__slots", ",").alias(LIST), F.explode("__slots").alias("__slot"))
+    return long.join(numbered, "__slot").select(LIST, ITEM)
+
+
+def _known(candidates: DataFrame, attributes: DataFrame, vector: str) -> DataFrame:
+    require_columns(attributes, [ITEM, vector])
+    return candidates.select(ITEM).distinct().join(attributes.select(ITEM), ITEM, "left_semi")
+
+
+def _ends_of_diversity(subsets: DataFrame, attributes: DataFrame, vector: str, distance) -> DataFrame:
     scored = intralist_diversity(subsets, attributes, vector, distance=distance)
     return scored.agg(F.min("diversity").alias("lowest"), F.max("diversity").alias("highest"))
 
 
+def candidate_diversity(candidates: DataFrame, attributes: DataFrame, n: int, vector: str = "embedding",
+                        distance: str | Callable[[Column, Column], Column] = "cosine") -> DataFrame:
+    """Lowest and highest diversity over all ``n``-subsets of the known candidates.
+
+    Their number is a binomial coefficient; for many candidates ask ``sampled_candidate_diversity``.
+    """
+    subsets = all_subsets(_known(candidates, attributes, vector), n)
+    return _ends_of_diversity(subsets, attributes, vector, distance)
+
+
+def sampled_candidate_diversity(candidates: DataFrame, attributes: DataFrame, n: int, draws: int, vector: str = "embedding",
+                                distance: str | Callable[[Column, Column], Column] = "cosine", seed: int = 0) -> DataFrame:
+    """Lowest and highest diversity over ``draws`` random ``n``-subsets of the known candidates."""
+    rows = candidates.sparkSession.range(draws).withColumnRenamed("id", LIST)
+    subsets = random_subsets(_known(candidates, attributes, vector), rows, LIST, n, seed)
+    return _ends_of_diversity(subsets, attributes, vector, distance)
+
+
 def distribution(recs: DataFrame, attributes: DataFrame, name: str, is_list: bool = False) -> DataFrame:
     """Share of each attribute value over all recommended known items, list values flattened."""
     known = _with_attribute(recs, attributes, name, []).join(attributes.select(ITEM), ITEM, "left_semi")
@@ -163,16 +182,25 @@ def mean_unit(rows: DataFrame, attributes: DataFrame, vector: str, keys: Sequenc
 
 
 def serendipity(recs: DataFrame, history: DataFrame, attributes: DataFrame, vector: str = "embedding",
-                pairs: DataFrame | None = None, rec_key: str = LIST, history_key: str = LIST) -> DataFrame:
-    """Mean cosine distance between a list and its reader's history; null if either is unknown.
+                pairs: DataFrame | None = None, rec_key: str = LIST, history_key: str = LIST,
+                distance: str | Callable[[Column, Column], Column] = "cosine") -> DataFrame:
+    """Mean distance between a list and its reader's history; null if either is unknown.
 
-    The mean over all item pairs is 1 - mean(u_R) . mean(u_H), so no pairs are formed.  ``pairs``
-    maps lists to histories when they are not the same key.
+    For the cosine the mean over all item pairs is 1 - mean(u_R) . mean(u_H), so no pairs are formed.  Other
+    distances (a name or a function of two vector columns) need them, list by history.  ``pairs`` maps lists
+    to histories when they are not the same key.
     """
-    left = mean_unit(recs, attributes, vector, [rec_key], "__r")
-    right = mean_unit(history, attributes, vector, [history_key], "__h")
     if pairs is None:
         pairs = recs.select(rec_key).distinct()
+    if distance != "cosine":
+        known = attributes.filter(F.col(vector).isNotNull()).select(ITEM, vector)
+        left = recs.select(rec_key, ITEM).join(known.withColumnRenamed(vector, "__r"), ITEM).drop(ITEM)
+        right = history.select(history_key, ITEM).join(known.withColumnRenamed(vector, "__h"), ITEM).drop(ITEM)
+        apart = pairs.join(left, rec_key, "left").join(right, history_key, "left").withColumn(
+            "__d", vectors.distance(distance, F.col("__r"), F.col("__h")))
+        return apart.groupBy(*pairs.columns).agg(F.avg("__d").alias("serendipity"))
+    left = mean_unit(recs, attributes, vector, [rec_key], "__r")
+    right = mean_unit(history, attributes, vector, [history_key], "__h")
     both = pairs.join(left, rec_key, "left").join(right, history_key, "left")
     return both.select(*pairs.columns, (1 - vectors.dot("__r", "__h")).alias("serendipity"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from slatewise import schema as S
 from slatewise.functions import scalars
-from slatewise.operators.skew import DETECT, require_group_bound, row_number_in_group
+from slatewise.operators.skew import DETECT, row_number_in_group
 
 RANK = "rank"
 
@@ -196,11 +196,10 @@ def evaluate(long: DataFrame, metrics: Sequence[Metric], hot=DETECT, on_undefine
 def python_metric(long: DataFrame, name: str, fn: Callable, key: str = S.IMPRESSION) -> DataFrame:
     """Mean of ``fn(labels, scores)`` for a user's own callable, one call per impression.
 
-    The callable sees whole arrays, so the largest impression is checked first.
+    The callable sees an impression's whole arrays; that is the interface it is written for.
     """
     if not callable(fn):
         raise TypeError(f"not callable: {fn!r}")
-    require_group_bound(long, [key], 100_000)
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")

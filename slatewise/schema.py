@@ -25,33 +25,6 @@ HISTORY_TIMES = "impression_time_fixed"
 HISTORY_READ_TIMES = "read_time_fixed"
 HISTORY_SCROLLS = "scroll_percentage_fixed"
 
-BEHAVIORS_SCHEMA = T.StructType([
-    T.StructField(IMPRESSION, T.LongType()),
-    T.StructField(USER, T.LongType()),
-    T.StructField(TIME, T.TimestampNTZType()),
-    T.StructField(ARTICLE, T.LongType()),
-    T.StructField(INVIEW, T.ArrayType(T.LongType())),
-    T.StructField(CLICKED, T.ArrayType(T.LongType())),
-    T.StructField(READ_TIME, T.DoubleType()),
-    T.StructField(SCROLL, T.DoubleType()),
-    T.StructField("device_type", T.IntegerType()),
-    T.StructField("session_id", T.LongType()),
-    T.StructField("is_sso_user", T.BooleanType()),
-    T.StructField("is_subscriber", T.BooleanType()),
-    T.StructField("gender", T.IntegerType()),
-    T.StructField("age", T.IntegerType()),
-    T.StructField("postcode", T.IntegerType()),
-    T.StructField("is_beyond_accuracy", T.BooleanType()),
-])
-
-HISTORY_SCHEMA = T.StructType([
-    T.StructField(USER, T.LongType()),
-    T.StructField(HISTORY_ARTICLES, T.ArrayType(T.LongType())),
-    T.StructField(HISTORY_TIMES, T.ArrayType(T.TimestampNTZType())),
-    T.StructField(HISTORY_READ_TIMES, T.ArrayType(T.DoubleType())),
-    T.StructField(HISTORY_SCROLLS, T.ArrayType(T.DoubleType())),
-])
-
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Return ``df`` unchanged, or raise ``ValueError`` naming the absent columns."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Joins on skewed keys are split by adaptive execution, also where that costs one more shuffle.
 ADAPTIVE = {
@@ -36,6 +36,12 @@ def local_session(cores: int | str = "*", app: str = "slatewise", **conf: str) -
     return configure(builder.getOrCreate())
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed now and read from the shared checkpoint folder from then on."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names; a scratch folder only in local mode."""
     sc = spark.sparkContext

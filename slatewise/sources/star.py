@@ -13,7 +13,6 @@ from slatewise import schema as S
 from slatewise.operators.longform import to_lists
 from slatewise.operators.skew import (
     hot_keys,
-    require_group_bound,
     row_number_in_group,
     split_hot,
     top_n_in_group,
@@ -97,14 +96,9 @@ class Star:
     def clicks(self) -> DataFrame:
         return self.candidates().filter(F.col(S.LABEL) == 1)
 
-    def check_list_lengths(self) -> None:
-        """Refuse list cells for orders of more than a million lines; reads one column."""
-        require_group_bound(self.table("lineitem", "l_orderkey"), ["l_orderkey"])
-
     def behaviors(self) -> DataFrame:
         """One row per impression with in-view and clicked lists; clicked is null without clicks,
         in-view empty for orders without lines."""
-        self.check_list_lengths()
         packed = F.array_sort(F.collect_list(F.struct("raw_pos", S.ARTICLE, S.LABEL, S.READ_TIME)))
         folded = self.unslotted(None).groupBy(S.IMPRESSION).agg(packed.alias("__rows"))
         clicked = F.transform(F.filter("__rows", lambda r: r[S.LABEL] == 1), lambda r: r[S.ARTICLE])
@@ -127,11 +121,15 @@ class Star:
         order = [F.desc(S.TIME), F.desc(S.IMPRESSION), F.desc(S.POS)]
         return top_n_in_group(self.clicks(), [S.USER], order, size)
 
-    def histories(self, size: int) -> DataFrame:
-        """One row per user with the last ``size`` clicked articles, times and read times, oldest first."""
+    def histories(self, size: int | None = None) -> DataFrame:
+        """One row per user with the clicked articles, times and read times, oldest first; all of them,
+        or the last ``size``."""
         columns = {S.ARTICLE: S.HISTORY_ARTICLES, S.TIME: S.HISTORY_TIMES, S.READ_TIME: S.HISTORY_READ_TIMES}
-        rows = self.recent_clicks(size).withColumn("slot", -F.col("rank"))
-        return to_lists(rows, [S.USER], columns, pos="slot", check=False)
+        if size is None:
+            rows = self.clicks().withColumn("slot", F.struct(S.TIME, S.IMPRESSION, S.POS))
+        else:
+            rows = self.recent_clicks(size).withColumn("slot", -F.col("rank"))
+        return to_lists(rows, [S.USER], columns, pos="slot")
 
     def articles(self) -> DataFrame:
         part = self.table("part", "p_partkey", "p_name", "p_type", "p_size", "p_retailprice")

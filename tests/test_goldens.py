@@ -375,7 +375,7 @@ def test_diversity(spark):
     assert column(B.intralist_diversity(recommended(spark, [["a", "b", "c"]]), wide)) == pytest.approx([0.0225884385], abs=1e-9)
     bounds = B.candidate_diversity(vecs.select("item"), vecs, 2).first()
     assert tuple(bounds) == pytest.approx((0.0004879239, 0.0221975859), abs=1e-8)
-    sampled = B.candidate_diversity(vecs.select("item"), vecs, 2, max_combinations=5).first()
+    sampled = B.sampled_candidate_diversity(vecs.select("item"), vecs, 2, draws=5).first()
     assert bounds[0] - 1e-9 <= sampled[0] <= sampled[1] <= bounds[1] + 1e-9
     with pytest.raises(ValueError):
         B.candidate_diversity(vecs.select("item"), vecs, 5)

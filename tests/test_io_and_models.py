@@ -65,6 +65,9 @@ def test_trees_learn_and_reload(spark, tmp_path):
         F.col("id").alias(S.ARTICLE), F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("sentiment_score"),
         F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, "x").otherwise("y").alias("category"))
     rows = rows.withColumn(S.LABEL, (F.col("sentiment_score") > 0.7).cast("int")).na.fill(0, [S.LABEL])
+    with pytest.raises(TypeError):
+        features.fit_trees(rows, trees=1)
+    rows = features.with_codes(rows, features.category_codes(rows))
     model = features.fit_trees(rows, trees=5, depth=3)
     scored = features.score_trees(model, rows)
     assert M.evaluate(scored, [M.auc()]).first()["value"] > 0.9
@@ -74,6 +77,13 @@ def test_trees_learn_and_reload(spark, tmp_path):
     assert sorted(scored.collect()) == sorted(again.collect())
 
 
+def test_trees_beat_chance_on_later_days(star):
+    from catalog.models import boosted_trees
+
+    scored = boosted_trees(star, trees=5, depth=3)
+    assert M.evaluate(scored, [M.auc()]).first()["value"] > 0.5
+
+
 def test_feature_vector_keeps_missing_as_nan(spark):
     df = spark.createDataFrame([(1.0, None)], "age double, gender int")
     row = features.feature_vector(df).first()["features"].toArray()

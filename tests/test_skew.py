@@ -95,10 +95,10 @@ def test_candidates_with_hot_orders(spark, monkeypatch):
     assert rows(star.candidates()) == want
 
 
-def test_list_bound_is_checked(events):
-    skew.require_group_bound(events, ["user_id"], 2_000)
-    with pytest.raises(ValueError, match="1001|1000|limit"):
-        skew.require_group_bound(events, ["user_id"], 500)
+def test_large_top_n_is_trimmed_before_the_shuffle(events):
+    best = skew.top_n_in_group(events, ["user_id"], ["t", "id"], 2_000)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and best.groupBy("user_id").count().agg(F.max("count")).first()[0] <= 2_000
 
 
 def test_results_do_not_depend_on_partitioning(spark, events):
