@@ -34,8 +34,8 @@ def engagement(df: DataFrame, item: str = S.ARTICLE, columns: Sequence[str] = (S
     return clean.groupBy(item).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
 
 
-def nearest_quantile(df: DataFrame, column: str, q: float) -> float | int | None:
-    """The value at sorted position round(q * (rows - 1)); null for an empty column.
+def nearest_quantile(df: DataFrame, column: str, q: float) -> Column:
+    """The value at sorted position round(q * (rows - 1)), as a literal; null for an empty column.
 
     Equal values are counted together first, then the cumulative counts decide.  Runs its jobs at once.
     """
@@ -43,7 +43,7 @@ def nearest_quantile(df: DataFrame, column: str, q: float) -> float | int | None
     ordered = running_sum(counts, [column], "__times", "__upto")
     rows = ordered.agg(F.max("__upto")).first()[0]
     target = math.floor(q * ((rows or 0) - 1) + 0.5) + 1
-    return ordered.filter(F.col("__upto") >= target).agg(F.min(column)).first()[0]
+    return F.lit(ordered.filter(F.col("__upto") >= target).agg(F.min(column)).first()[0])
 
 
 def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
