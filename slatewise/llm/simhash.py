@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatewise.llm.common import (as_row, checkpointed, reseeded, row_key, shingle_hashes, small_batches, table, whole,
-                                  word_hashes, written)
+from slatewise.llm.common import (as_row, bit_map, checkpointed, only_marked, reseeded, row_key, shingle_hashes, small_batches,
+                                  table, whole, word_hashes, written)
 from slatewise.llm.graph import components
 
 SHINGLE = 3
@@ -261,35 +261,34 @@ def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(words, min(shingle, len(words)))) if len(words) else words
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR,
-                  shingle: int = SIMILAR_SHINGLE, tables: int = TABLES, errors: int = TABLE_ERRORS, leaf: int = LEAF) -> DataFrame:
-    """(a, b, similarity): confirmed links between rows, named by ``row_key``; the Jaccard similarity of the
-    sets of shingles is at least ``similar``.  Two texts without words are alike."""
+def proposals(docs: DataFrame, id_col: str, text_col: str, tables: int, errors: int, leaf: int) -> DataFrame:
+    """(a, b): distinct pairs of row keys that some table's fingerprints propose, a < b."""
     small_batches(docs.sparkSession, 500)
-    source = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), whole(text_col).cast("binary").alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
+    source = docs.select(row_key(id_col, text_col).alias("key"), whole(text_col).cast("binary").alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.array([set_fingerprints(x, tables) for x in b.column("text").to_pylist()], np.int64).reshape(-1, tables)
             at = pa.array(np.repeat(np.arange(len(prints)), tables))
             tabs = np.tile(np.arange(tables, dtype=np.int32), len(prints))
-            yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("id").take(at), pa.array(tabs), pa.array(prints.ravel())],
-                                             ["key", "id", "tab", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(at), pa.array(tabs), pa.array(prints.ravel())], ["key", "tab", "fp"])
 
-    marks = written(source.mapInArrow(mark, f"key string, id {kind}, tab int, fp long"), "prints")
+    marks = written(source.mapInArrow(mark, "key long, tab int, fp long"), "prints")
     # one document stands for those with the same fingerprint
-    reps = checkpointed(marks.groupBy("tab", "fp").agg(F.min(F.struct("id", "key"))["key"].alias("rep")))
+    reps = written(marks.groupBy("tab", "fp").agg(F.min("key").alias("rep")), "representatives")
     equal = marks.join(reps, ["tab", "fp"]).filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     near = checkpointed(near_links(reps.select("tab", "fp"), errors, leaf, direct=True).distinct())
     sides = near.join(reps.withColumnsRenamed({"fp": "a", "rep": "ka"}), ["tab", "a"]).join(
         reps.withColumnsRenamed({"fp": "b", "rep": "kb"}), ["tab", "b"]).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     either = equal.unionByName(sides)
-    links = checkpointed(either.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    texts = source.select("key", "text")
+    return checkpointed(either.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+
+
+def _confirmed(links: DataFrame, texts: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """Those of ``links`` whose texts (key, text) are at least ``similar``."""
     both = links.join(texts.withColumnsRenamed({"key": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "y"}), "b")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ys = None, None
         for b in batches:
             score = []
@@ -303,7 +302,30 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(score, pa.float64())], ["a", "b", "similarity"])
             yield out.filter(pa.array([s >= similar for s in score], pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(confirm, "a string, b string, similarity double").distinct()
+    return checkpointed(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double").distinct())
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR,
+                  shingle: int = SIMILAR_SHINGLE, tables: int = TABLES, errors: int = TABLE_ERRORS, leaf: int = LEAF) -> DataFrame:
+    """(a, b, similarity): confirmed links between rows, named by ``row_key``; the Jaccard similarity of the
+    sets of shingles is at least ``similar``.  Two texts without words are alike.
+
+    First one proposal of each row is confirmed, then those of the others that would join different groups:
+    a proposal within a group could add nothing, and a group of near copies proposes very many.
+    """
+    links = proposals(docs, id_col, text_col, tables, errors, leaf)
+    source = docs.select(row_key(id_col, text_col).alias("key"), whole(text_col).cast("binary").alias("text"))
+    named = bit_map(links.select(F.explode(F.array("a", "b")).alias("key")))
+    texts = written(only_marked(source, "key", named).dropDuplicates(["key"]), "texts")
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = ways.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sure = _confirmed(first, texts, similar, shingle)
+    group = checkpointed(components(sure.select("a", "b")))
+    open_ = (links.join(first, ["a", "b"], "left_anti")
+             .join(group.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left")
+             .join(group.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
+             .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    return sure.unionByName(_confirmed(open_, texts, similar, shingle))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -311,13 +333,12 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Groups are chains of links.  Of rows that repeat id and text, the one whose other columns sort first stays.
     """
-    links = similar_links(docs, id_col, text_col, **options).select("a", "b")
-    tree = components(links)
-    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"))
-    grouped = checkpointed(tree.join(keyed.withColumnRenamed("key", "node"), "node"))
+    tree = checkpointed(components(similar_links(docs, id_col, text_col, **options).select("a", "b")))
+    keyed = docs.select(row_key(id_col, text_col).alias("node"), F.col(id_col).alias("id"))
+    grouped = checkpointed(tree.join(keyed, "node"))
     first = F.struct(F.col("id").isNull(), "id", "node")
     stay = grouped.groupBy("root").agg(F.min(first)["node"].alias("node"))
-    gone = grouped.select("node").distinct().join(stay, "node", "left_anti").withColumnRenamed("node", "key")
+    gone = checkpointed(grouped.select("node").distinct().join(stay, "node", "left_anti").withColumnRenamed("node", "key"))
     rows = docs.select(row_key(id_col, text_col).alias("key"), as_row(docs)).join(gone, "key", "left_anti")
     return rows.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
 
