@@ -78,7 +78,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and text one is kept.  An empty table gives no rows; other columns, whatever their names, are not read.
     """
     names = checkpointed(text_names(docs, id_col, text_col, block_chars))
-    groups = names.groupBy("blocks", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # checkpointed, so that the join below shuffles both sides and a hot name can be split
+    groups = checkpointed(names.groupBy("blocks", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size")))
     every = names.join(groups, ["blocks", "name"]).withColumn(
         "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return every.select(
