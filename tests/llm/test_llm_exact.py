@@ -67,18 +67,20 @@ def test_exact_dedup_keeps_other_columns(spark):
 
 
 def brute_hits(data, items, n=10):
-    import re
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower().decode())
-    out = []
-    windows = [(i, tuple(w[k:k + n])) for i, t in items for w in [cut(t)] if w for k in range(max(1, len(w) - n + 1))]
-    for i, t in data:
+    windows = collections.defaultdict(set)
+    for i, t in items:
         w = cut(t)
-        hit, found = set(), set()
-        for item, win in windows:
-            for k in range(len(w) - len(win) + 1):
-                if tuple(w[k:k + len(win)]) == win:
-                    hit |= set(range(k, k + len(win)))
-                    found.add(str(item))
+        for k in range(max(1, len(w) - n + 1)) if w else ():
+            windows[tuple(w[k:k + n])].add(str(i))
+    out, sizes = [], {len(w) for w in windows}
+    for i, t in data:
+        w, hit, found = cut(t), set(), set()
+        for size in sizes:
+            for k in range(len(w) - size + 1):
+                if names := windows.get(tuple(w[k:k + size])):
+                    hit |= set(range(k, k + size))
+                    found |= names
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
