@@ -32,6 +32,7 @@ SURE = 0.97  # calibrated probability from which a view teaches the other
 KEEP = 0.5
 ASIDE = 4  # every fourth labelled document of the sample is kept aside for calibration
 STEPS = 12
+PARTS = 8  # partitions of the sample, which is passed over once a step
 RIDGE = 1e-3
 SEED = 7
 
@@ -226,7 +227,7 @@ def co_train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
              .groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) > 0).cast("int").alias("label")))
     joined = _features(rows, ["id"], ("m0", "m1", "m2")).join(known, "id", "left")
     x = checkpointed(joined.withColumn("aside", F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(ASIDE)) == 0)
-                     .repartition(8, "id"))
+                     .repartition(PARTS, "id")).coalesce(PARTS)
     labelled, pool = x.filter("label is not null"), x.filter("label is null")
     train, aside = labelled.filter("not aside"), labelled.filter("aside")
     both = lambda d: d.select(F.countDistinct("label")).first()[0] == 2
