@@ -7,12 +7,13 @@ nodes that together hold at most ``leaf`` fingerprints is walked to the end insi
 arrays.  Nothing but trie nodes decides where the work goes, so a crowded prefix (many near copies) is
 split further down and a sparse one early.
 
-A task reports how the fingerprints it holds hang together (each linked to the smallest of its part), or for
-each its nearest and its smallest partner, not every pair: the output of a crowded group grows with its size
-and not with its square.
+A task reports how the fingerprints it holds hang together (each linked to the smallest of its part), not
+every pair: the output of a crowded group grows with its size and not with its square.
 
-``near_duplicates`` links documents by one fingerprint.  ``similar_links`` is for a similarity of shingle sets:
-fingerprints of the set of words, under several hashes, propose links that the texts then confirm.
+``near_duplicates`` links documents by one fingerprint.  ``similar_links`` is for a similarity of shingle sets,
+at which fingerprints of 64 bits differ in too many bits for the trie: least shingles under several hashes, in
+bands, propose links that the texts then confirm.  Two sets agree in a least shingle with the probability of
+their similarity, whichever way the texts were edited.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatewise.llm.common import (as_row, bit_map, checkpointed, only_marked, reseeded, row_key, shingle_hashes, small_batches,
+from slatewise.llm.common import (ODD, as_row, bit_map, checkpointed, mixed, only_marked, row_key, shingle_hashes, small_batches,
                                   table, whole, word_hashes, written)
 from slatewise.llm.graph import components
 
@@ -35,8 +36,11 @@ ERRORS = 2
 SEED = 42
 LEAF = 8192
 STEP = 4
-TABLES = 16
-TABLE_ERRORS = 3
+BANDS = 32
+ROWS = 4  # least shingles that agree in a band; a pair at 0.8 agrees in none of the bands once in 2 * 10**7
+SKETCH_BITS = BANDS * ROWS
+SKETCH_APART = 36  # of these bits: a pair at 0.8 differs in more twice in 10**9
+GROWTH = 8  # how many times more leads a band gets in each round
 SIMILAR = 0.8
 SIMILAR_SHINGLE = 5
 SLAB = 1 << 16  # shingles whose bits are spread out at a time
@@ -139,17 +143,7 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _partners(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Rows (position, partner): each position's smallest partner and its nearest one."""
-    at, other, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
-    least, near = np.full(n, n), np.full(n, 65 * n)
-    np.minimum.at(least, at, other)
-    np.minimum.at(near, at, far * n + other)
-    some = np.flatnonzero(least < n)
-    return np.concatenate([np.stack([some, least[some]], axis=1), np.stack([some, near[some] % n], axis=1)])
-
-
-def _walk_pairs(batches: Iterator[pa.RecordBatch], errors: int, direct: bool) -> Iterator[pa.RecordBatch]:
+def _walk_pairs(batches: Iterator[pa.RecordBatch], errors: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             tab, d, err, same = (batch.column(c)[row].as_py() for c in ("tab", "depth", "err", "same"))
@@ -162,22 +156,17 @@ def _walk_pairs(batches: Iterator[pa.RecordBatch], errors: int, direct: bool) ->
                 continue
             every = a if same else np.concatenate([a, b])
             j = j if same else j + len(a)
-            if direct:
-                pairs = _partners(len(every), i, j, np.bitwise_count(every[i] ^ every[j]).astype(np.int64))
-            else:
-                top = roots(len(every), i, j)
-                moved = np.flatnonzero(top != np.arange(len(every)))
-                pairs = np.stack([moved, top[moved]], axis=1)
+            top = roots(len(every), i, j)
+            moved = np.flatnonzero(top != np.arange(len(every)))
+            pairs = np.stack([moved, top[moved]], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(pairs), tab, np.int32)), *[pa.array(every[pairs[:, k]].view(np.int64)) for k in (0, 1)]], ["tab", "a", "b"])
 
 
-def near_links(prints: DataFrame, errors: int = ERRORS, leaf: int = LEAF, direct: bool = False) -> DataFrame:
+def near_links(prints: DataFrame, errors: int = ERRORS, leaf: int = LEAF) -> DataFrame:
     """(tab, a, b) over the distinct rows (tab, fp) of ``prints``: one trie for each ``tab``.
 
     The links join exactly those fingerprints that chains of pairs with at most ``errors`` differing bits join.
-    With ``direct`` they are such pairs themselves: of each fingerprint and each node pair it is in, the
-    nearest partner and the smallest.
     """
     spark = prints.sparkSession
     small_batches(spark, 200)
@@ -219,7 +208,7 @@ def near_links(prints: DataFrame, errors: int = ERRORS, leaf: int = LEAF, direct
         part = own.unionByName(cross).select(
             "tab", F.lit(at).alias("depth"), "err", (F.col("a") == F.col("b")).alias("same"), "fa", "fb")
         out = part if out is None else out.unionByName(part)
-    return out.mapInArrow(lambda batches: _walk_pairs(batches, errors, direct), "tab int, a long, b long")
+    return out.mapInArrow(lambda batches: _walk_pairs(batches, errors), "tab int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -242,46 +231,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def set_fingerprints(text: bytes, tables: int = TABLES) -> list[int]:
-    """Fingerprints of the set of a text's words under ``tables`` hashes; 0 without words."""
-    words = np.unique(word_hashes(text))
-    out = []
-    for k in range(tables):
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(words), SLAB):
-            part = reseeded(words[at:at + SLAB], k).view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits((2 * ones > len(words)).astype(np.uint8), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     """The distinct shingles, sorted; a text of fewer words is one shingle, a text without words has none."""
     words = word_hashes(text)
     return np.unique(shingle_hashes(words, min(shingle, len(words)))) if len(words) else words
 
 
-def proposals(docs: DataFrame, id_col: str, text_col: str, tables: int, errors: int, leaf: int) -> DataFrame:
-    """(a, b): distinct pairs of row keys that some table's fingerprints propose, a < b."""
+FACTORS = (mixed(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * ODD) | np.uint64(1))[:, None]
+
+
+def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each band, and a sketch of one bit for each least shingle in two 64-bit numbers."""
+    least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), SLAB // 16):
+        least = np.minimum(least, (shingles[at:at + SLAB // 16] * FACTORS).min(axis=1))
+    rows = least.reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = mixed(keys * ODD + rows[:, k])
+    bits = np.packbits((mixed(least) & np.uint64(1)).astype(np.uint8), bitorder="little")
+    return keys.view(np.int64), bits.view("<i8")
+
+
+def band_members(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(band, key, size, lo, hi): every row key in the bands that it shares with another one, with its number of
+    shingles and its sketch."""
     small_batches(docs.sparkSession, 500)
     source = docs.select(row_key(id_col, text_col).alias("key"), whole(text_col).cast("binary").alias("text"))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([set_fingerprints(x, tables) for x in b.column("text").to_pylist()], np.int64).reshape(-1, tables)
-            at = pa.array(np.repeat(np.arange(len(prints)), tables))
-            tabs = np.tile(np.arange(tables, dtype=np.int32), len(prints))
-            yield pa.RecordBatch.from_arrays([b.column("key").take(at), pa.array(tabs), pa.array(prints.ravel())], ["key", "tab", "fp"])
-
-    marks = written(source.mapInArrow(mark, "key long, tab int, fp long"), "prints")
-    # one document stands for those with the same fingerprint
-    reps = written(marks.groupBy("tab", "fp").agg(F.min("key").alias("rep")), "representatives")
-    equal = marks.join(reps, ["tab", "fp"]).filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    near = checkpointed(near_links(reps.select("tab", "fp"), errors, leaf, direct=True).distinct())
-    sides = near.join(reps.withColumnsRenamed({"fp": "a", "rep": "ka"}), ["tab", "a"]).join(
-        reps.withColumnsRenamed({"fp": "b", "rep": "kb"}), ["tab", "b"]).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    either = equal.unionByName(sides)
-    return checkpointed(either.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+            sets = [shingle_set(x, shingle) for x in b.column("text").to_pylist()]
+            marks = [band_keys(x) for x in sets]
+            bands = pa.array([m[0].tolist() for m in marks], pa.list_(pa.int64()))
+            sketch = [pa.array([int(m[1][k]) for m in marks], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([len(x) for x in sets], pa.int64()), *sketch, bands],
+                                             ["key", "size", "lo", "hi", "bands"])
+
+    marks = written(source.mapInArrow(run, "key long, size long, lo long, hi long, bands array<long>"), "bands")
+    rows = marks.select(F.explode("bands").alias("band"), "key", "size", "lo", "hi")
+    seen = rows.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    shared = bit_map(seen.filter("least <> most").select("band"))
+    return written(only_marked(rows, "band", shared).distinct(), "members")
 
 
 def _confirmed(links: DataFrame, texts: DataFrame, similar: float, shingle: int) -> DataFrame:
@@ -306,26 +297,52 @@ def _confirmed(links: DataFrame, texts: DataFrame, similar: float, shingle: int)
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR,
-                  shingle: int = SIMILAR_SHINGLE, tables: int = TABLES, errors: int = TABLE_ERRORS, leaf: int = LEAF) -> DataFrame:
+                  shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """(a, b, similarity): confirmed links between rows, named by ``row_key``; the Jaccard similarity of the
     sets of shingles is at least ``similar``.  Two texts without words are alike.
 
-    First one proposal of each row is confirmed, then those of the others that would join different groups:
-    a proposal within a group could add nothing, and a group of near copies proposes very many.
+    In each round the members of a band are compared with some leads of it, as far as confirmed links have not
+    joined them yet: a link within a group could add nothing, and a band of near copies has very many pairs.
+    A band is done when one group holds it, or when all its members have been leads, so that every pair that
+    shares a band is confirmed, found too far apart, or within a group.  A key has the same place in the
+    order of leads everywhere.
     """
-    links = proposals(docs, id_col, text_col, tables, errors, leaf)
+    members = band_members(docs, id_col, text_col, shingle)
+    place = F.xxhash64("key")
+    sizes = checkpointed(members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"))
     source = docs.select(row_key(id_col, text_col).alias("key"), whole(text_col).cast("binary").alias("text"))
-    named = bit_map(links.select(F.explode(F.array("a", "b")).alias("key")))
+    named = bit_map(members.join(sizes, "band", "left_semi").select("key").distinct())
     texts = written(only_marked(source, "key", named).dropDuplicates(["key"]), "texts")
-    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = ways.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sure = _confirmed(first, texts, similar, shingle)
-    group = checkpointed(components(sure.select("a", "b")))
-    open_ = (links.join(first, ["a", "b"], "left_anti")
-             .join(group.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left")
-             .join(group.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
-             .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    return sure.unionByName(_confirmed(open_, texts, similar, shingle))
+    # the place in the order as a rank among n, about one key to each; the first key of a band always has rank 0
+    rank = F.when(place == F.col("first"), 0).otherwise(F.floor(F.pmod(place, F.lit(1 << 30)) * F.col("n") / F.lit(1 << 30)))
+    ranked = written(members.join(sizes, "band").withColumn("rank", rank.cast("long")).drop("first"), "ranked")
+    group, sure, tried, done, leads = None, None, None, 0, 1
+    while True:
+        if group is None:
+            state = ranked.withColumn("root", F.col("key"))
+        else:
+            state = (ranked.filter(F.col("n") > done).join(group.withColumnRenamed("node", "key"), "key", "left")
+                     .withColumn("root", F.coalesce("root", "key")))
+            mixed_ = state.groupBy("band").agg(F.min("root").alias("lo_root"), F.max("root").alias("hi_root")).filter("lo_root <> hi_root")
+            state = state.join(mixed_.select("band"), "band", "left_semi")
+        state = checkpointed(state)
+        if state.isEmpty():
+            return sure if sure is not None else docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
+        x = state.filter((F.col("rank") >= done) & (F.col("rank") < leads))
+        x = x.select("band", *[F.col(c).alias(f"x_{c}") for c in ("key", "size", "lo", "hi", "root")])
+        apart = F.bit_count(F.col("lo").bitwiseXOR(F.col("x_lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("x_hi")))
+        least, most = F.least("size", "x_size"), F.greatest("size", "x_size")
+        near = (state.filter(F.col("rank") >= done).join(x, "band")
+                .filter((F.col("root") != F.col("x_root")) & (apart <= SKETCH_APART) & (least >= most * similar)))
+        pairs = near.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = checkpointed(pairs)
+        found = _confirmed(pairs, texts, similar, shingle)
+        tried = pairs if tried is None else checkpointed(tried.unionByName(pairs))
+        sure = found if sure is None else checkpointed(sure.unionByName(found))
+        group = checkpointed(components(sure.select("a", "b")))
+        done, leads = leads, leads * GROWTH
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

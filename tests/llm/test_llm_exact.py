@@ -220,6 +220,39 @@ def test_drop_similar(spark):
     assert left == set(range(12)) | {200, 201, 203}
 
 
+def test_block_edits_are_joined(spark):
+    """Copies with a block of new words added or removed, at a similarity of 0.80 to 0.90."""
+    rng, data, pairs = random.Random(5), [], []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for k in range(240):
+        size = (100, 300, 1000)[k % 3]
+        text = [word() for _ in range(size)]
+        block = [word() for _ in range(int(size * (0.11, 0.17, 0.24)[k // 3 % 3]))]
+        longer = (block + text, text + block, text[:size // 2] + block + text[size // 2:])[k // 9 % 3]
+        a, b = (text, longer) if k % 2 else (longer, text)  # added, or removed
+        sets = [set(simhash.shingle_set(" ".join(t).encode()).tolist()) for t in (a, b)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            pairs.append(2 * k)
+        data += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    left = {r["doc_id"] for r in simhash.drop_similar(docs(spark, data)).collect()}
+    assert len(pairs) > 180 and left == {i for i, _ in data} - {k + 1 for k in pairs}
+
+
+def test_a_failed_lead_hides_no_pair(spark):
+    """Pairs whose similarity is confirmed among shuffles of the same words, which fail with each of them."""
+    rng, data = random.Random(6), []
+    for k in range(8):
+        base = [f"w{k}x{n}" for n in range(400)]
+        moved = base[:100] + base[140:300] + base[100:140] + base[300:]
+        data += [(100 * k, " ".join(base)), (100 * k + 1, " ".join(moved))]
+        data += [(100 * k + 2 + j, " ".join(rng.sample(base, 400))) for j in range(6)]
+    # a row of halfway copies: each is near the next one only
+    chain = [f"c{n}" for n in range(300)]
+    data += [(5000 + j, " ".join(chain[20 * j:20 * j + 200])) for j in range(6)]
+    left = {r["doc_id"] for r in simhash.drop_similar(docs(spark, data)).collect()}
+    assert left == {i for i, _ in data} - {100 * k + 1 for k in range(8)} - set(range(5001, 5006))
+
+
 # ---- URLs
 
 
