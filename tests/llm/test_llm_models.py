@@ -212,6 +212,19 @@ def test_every_exact_repeat_is_found(spark):
     assert both and both <= seen
 
 
+def test_one_edit_in_a_short_passage(spark):
+    """Passages of 55 to 65 words with one word inserted or deleted, inside different texts."""
+    rng, data = random.Random(11), []
+    words = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    for k in range(90):
+        one = words((55, 60, 65)[k % 3])
+        at = rng.randrange(10, len(one) - 10)
+        two = one[:at] + one[at + 1:] if k // 3 % 2 else one[:at] + words(1) + one[at:]
+        data += [(2 * k + j, " ".join(words(80) + part + words(80))) for j, part in enumerate((one, two))]
+    found = passages.passage_links(docs(spark, data)).collect()
+    assert {(r["doc_id"], r["match_id"]) for r in found} == {(2 * k + 1, 2 * k) for k in range(90)}
+
+
 def test_passages_of_odd_tables(spark):
     text = " ".join(f"w{k}" for k in range(60))
     base = spark.createDataFrame([(None, text), (1, text), (1, text), (2, text[:20])], "doc_id long, text string")
