@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,14 @@ def _single_spaced(text: str) -> bool:
     return not any(c in text and (c + " " in text or " " + c in text) for c in LINE_SPACE)
 
 
+class _Numbers(dict):
+    """A number for each key, in the order in which they come."""
+
+    def __missing__(self, key: str | tuple[str]) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own.
 
@@ -77,69 +86,90 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        # a unit between joints is named by its text after the space, another one by a tuple
+        self.numbers = _Numbers()
         # where the ids of each unit begin and how many they are; room is doubled when it is used up
         self.starts, self.sizes, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
-    def _learn(self, new: list[str]) -> None:
-        """Units that are not known yet."""
-        joint = [u for u in new if u[0] == " " and not u[1:2].isspace() and not u[-1].isspace()]
-        for at in range(0, len(joint), 20_000):
-            self._learn_joined(joint[at:at + 20_000])
-        for u in new:
-            if u not in self.place:
-                self._keep([u], np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, np.int32), np.zeros(1, np.int64))
-
-    def _learn_joined(self, new: list[str]) -> None:
-        """Units that begin and end at joints, encoded as one text; each token's bytes tell which unit it is of."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.cumsum(self.widths[ids])
-        units = np.cumsum([len(u.encode()) for u in new])
-        last = np.searchsorted(ends, units)
-        if last[-1] == len(ids) - 1 and (ends[last] == units).all():  # else the vocabulary is not one of bytes
-            self._keep(new, ids, np.concatenate(([0], last[:-1] + 1)))
-
-    def _keep(self, new: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
-        n = len(self.place)
-        while n + len(new) > len(self.sizes):
+    def _learn(self, since: int) -> None:
+        """The ids of the units numbered from ``since``."""
+        while len(self.numbers) > len(self.sizes):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        new = list(islice(self.numbers, since, None))
+        joint = [n for n, u in enumerate(new, since) if isinstance(u, str)]
+        single = [n for n, u in enumerate(new, since) if not isinstance(u, str)]
+        for at in range(0, len(joint), 1000):
+            part = joint[at:at + 1000]
+            # encoded as one text; each token's bytes tell which unit it is of
+            text = " " + " ".join(new[n - since] for n in part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum(self.widths[ids])
+            units = np.cumsum([1 + len(u if text.isascii() else u.encode()) for u in (new[n - since] for n in part)])
+            last = np.searchsorted(ends, units)
+            if last[-1] == len(ids) - 1 and (ends[last] == units).all():
+                self._keep(part, ids, np.concatenate(([0], last[:-1] + 1)))
+            else:  # the vocabulary is not one of bytes
+                single += part
+        for n in single:
+            unit = new[n - since]
+            unit = " " + unit if isinstance(unit, str) else unit[0]
+            self._keep([n], np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, np.int32), np.zeros(1, np.int64))
+
+    def _keep(self, units: list[int], ids: np.ndarray, starts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used:self.used + len(ids)] = ids
-        self.starts[n:n + len(new)] = starts + self.used
-        self.sizes[n:n + len(new)] = np.diff(starts, append=len(ids))
-        self.place.update(zip(new, range(n, n + len(new))))
+        self.starts[units] = starts + self.used
+        self.sizes[units] = np.diff(starts, append=len(ids))
         self.used += len(ids)
 
-    def _units(self, text: str) -> Iterator[list[str]]:
+    def _units(self, text: str) -> Iterator[list[str | tuple[str]]]:
         """The units of a text, some at a time."""
         at = 0
         while at < len(text):
             end = len(text)
             if end - at > PIECE and (cut := JOINT.search(text, at + PIECE)):
                 end = cut.start()
-            part = text[at:end]
             # a part that begins at a joint begins with its space
-            first, rest = (" ", part[1:]) if at else ("", part)
+            rest = text[at + 1:end] if at else text[:end]
             words = rest.split(" ") if _single_spaced(rest) else JOINT.split(rest)
-            yield [first + words[0], *map(" ".__add__, words[1:])]
+            if not at:
+                words[0] = (words[0],)
+            if len(words) + (at > 0) > 1 and words[-1][-1].isspace():
+                words[-1] = (" " + words[-1],)
+            yield words
             at = end
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_unit:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        parts = [np.zeros(0, np.int32)]
-        for units in self._units(text):
-            if len(self.place) > self.units:
+            return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in texts]
+        out = [[] for _ in texts]
+        units, spans = [], []
+
+        def done() -> None:
+            if not units:
+                return
+            if len(self.numbers) > self.units:
                 self.forget()
-            place = self.place
-            if new := [u for u in dict.fromkeys(units) if u not in place]:
-                self._learn(new)
-            where = np.fromiter(map(place.__getitem__, units), np.int64, len(units))
+            known = len(self.numbers)
+            where = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
+            self._learn(known)
             sizes = self.sizes[where]
             ends = np.cumsum(sizes)
-            parts.append(self.ids[np.arange(ends[-1]) + np.repeat(self.starts[where] - ends + sizes, sizes)])
-        return parts[1] if len(parts) == 2 else np.concatenate(parts)
+            ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[where] - ends + sizes, sizes)]
+            for k, a, b in spans:
+                out[k].append(ids[ends[a] - sizes[a]:ends[b - 1]])
+            units.clear()
+            spans.clear()
+
+        for k, text in enumerate(texts):
+            for part in self._units(text):
+                spans.append((k, len(units), len(units) + len(part)))
+                units += part
+                if len(units) >= 200_000:
+                    done()
+        done()
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in out]
 
 
 COLUMNS = ["part", "start", "doc_id", "chunk", "last", "ids"]
@@ -159,8 +189,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, chunk: int)
     rows, held, kind = [], 0, None
     for b in batches:
         kind = b.column("id").type
-        for doc, text in zip(b.column("id").to_pylist(), b.column("text")):
-            ids = np.append(encoder.encode(text.as_py()), np.int32(end))
+        for doc, ids in zip(b.column("id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
+            ids = np.append(ids, np.int32(end))
             for at in range(0, len(ids), chunk):
                 rows.append((before, doc, at // chunk, at + chunk >= len(ids), ids[at:at + chunk]))
                 held += len(rows[-1][-1])

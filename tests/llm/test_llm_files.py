@@ -39,7 +39,7 @@ def plain_files(tokenizer, rows):
 def test_units_give_the_ids_of_the_whole_text(text):
     encoder = test_units_give_the_ids_of_the_whole_text.encoder
     assert encoder.by_unit
-    assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 test_units_give_the_ids_of_the_whole_text.encoder = token_files.Encoder(BPE, units=50)
@@ -50,8 +50,8 @@ def test_long_texts_are_split_at_joints(monkeypatch):
     encoder = token_files.Encoder(BPE)
     rng = random.Random(3)
     text = "".join(rng.choice(["word", "x", " ", " ", "\n", ".", "  ", "ü"]) for _ in range(3000))
-    assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
-    assert encoder.encode("x" * 300).tolist() == encoder.tokenizer.encode("x" * 300, add_special_tokens=False).ids
+    assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode(["x" * 300])[0].tolist() == encoder.tokenizer.encode("x" * 300, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name, chunk", [("byte_bpe_50k.json", 8), ("byte_bpe_50k.json", 8192), ("word_bpe_49k.json", 5)])
