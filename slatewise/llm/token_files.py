@@ -83,6 +83,8 @@ class Encoder:
             self.widths[at] = len(token)  # of a byte-level token: a character for each byte
         for at, token in self.tokenizer.get_added_tokens_decoder().items():
             self.widths[at] = len(token.content.encode())
+        stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"} if self.by_unit else {}
+        self.stops = {c: ids[0] for c, ids in stops.items() if len(ids) == 1}
         self.forget()
 
     def forget(self) -> None:
@@ -93,27 +95,43 @@ class Encoder:
 
     def _learn(self, since: int) -> None:
         """The ids of the units numbered from ``since``."""
+        joint, single, ended, heads = [], [], [], []
+        for n, u in enumerate(islice(self.numbers, since, None), since):
+            if not isinstance(u, str):
+                single.append((n, u[0]))
+            elif u[-1] in self.stops and u[:-1].isalpha() and u.isascii():  # letters and a stop are tokens of their own
+                ended.append((n, self.stops[u[-1]]))
+                heads.append(u[:-1])
+            else:
+                joint.append((n, u))
+        known = len(self.numbers)
+        head = np.fromiter(map(self.numbers.__getitem__, heads), np.int64, len(heads))
+        joint += enumerate(islice(self.numbers, known, None), known)
         while len(self.numbers) > len(self.sizes):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        new = list(islice(self.numbers, since, None))
-        joint = [n for n, u in enumerate(new, since) if isinstance(u, str)]
-        single = [n for n, u in enumerate(new, since) if not isinstance(u, str)]
         for at in range(0, len(joint), 1000):
-            part = joint[at:at + 1000]
+            places, part = zip(*joint[at:at + 1000])
             # encoded as one text; each token's bytes tell which unit it is of
-            text = " " + " ".join(new[n - since] for n in part)
+            text = " " + " ".join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             ends = np.cumsum(self.widths[ids])
-            units = np.cumsum([1 + len(u if text.isascii() else u.encode()) for u in (new[n - since] for n in part)])
+            units = np.cumsum([1 + len(u if text.isascii() else u.encode()) for u in part])
             last = np.searchsorted(ends, units)
             if last[-1] == len(ids) - 1 and (ends[last] == units).all():
-                self._keep(part, ids, np.concatenate(([0], last[:-1] + 1)))
+                self._keep(list(places), ids, np.concatenate(([0], last[:-1] + 1)))
             else:  # the vocabulary is not one of bytes
-                single += part
-        for n in single:
-            unit = new[n - since]
-            unit = " " + unit if isinstance(unit, str) else unit[0]
+                single += [(n, " " + u) for n, u in zip(places, part)]
+        for n, unit in single:
             self._keep([n], np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, np.int32), np.zeros(1, np.int64))
+        if ended:
+            places, stops = zip(*ended)
+            sizes = self.sizes[head] + 1
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) + np.repeat(self.starts[head] - ends + sizes, sizes)
+            at[ends - 1] = 0  # the stop's place
+            ids = self.ids[at]
+            ids[ends - 1] = stops
+            self._keep(list(places), ids, ends - sizes)
 
     def _keep(self, units: list[int], ids: np.ndarray, starts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
