@@ -33,7 +33,7 @@ STRIPE = 16 << 20
 STRIDE = 2000  # rows of a row group
 TEXTS = 200  # texts in an Arrow batch
 PIECE = 1 << 18  # characters that are split into units at a time
-UNITS = 1 << 20  # units that a task remembers
+UNITS = 1 << 20  # units that a Python worker remembers
 HELD = 1 << 20  # ids that a task holds before it sends them on
 
 # A single space between two characters that are not white space: no token of the pre-tokenizer below goes
@@ -190,12 +190,18 @@ class Encoder:
         return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in out]
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, so that a task knows the units of the tasks before it."""
+    return Encoder(path)
+
+
 COLUMNS = ["part", "start", "doc_id", "chunk", "last", "ids"]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, chunk: int) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
+    encoder, part, before = _encoder(path), TaskContext.get().partitionId(), 0
 
     def packed(kind: pa.DataType) -> pa.RecordBatch:
         starts, docs, numbers, last, ids = (list(x) for x in zip(*rows))
