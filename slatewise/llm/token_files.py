@@ -19,6 +19,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,29 +34,27 @@ STRIPE = 16 << 20
 STRIDE = 2000  # rows of a row group
 TEXTS = 200  # texts in an Arrow batch
 PIECE = 1 << 18  # characters that are split into units at a time
-UNITS = 1 << 20  # units that a Python worker remembers
+UNITS = 1 << 18  # units that a Python worker remembers
 HELD = 1 << 20  # ids that a task holds before it sends them on
 
 # A single space between two characters that are not white space: no token of the pre-tokenizer below goes
 # over the place before it.
 JOINT = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r"\s | \s|^ | $")
-LINE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
+ASCII_SPACES = [c for c in SPACES if c.isascii()]
 
 
 def _single_spaced(text: str) -> bool:
     """Whether every space is a joint."""
-    if not text.isascii():
-        return ODD_SPACE.search(text) is None
     if "  " in text or text[:1] == " " or text[-1:] == " ":
         return False
-    return not any(c in text and (c + " " in text or " " + c in text) for c in LINE_SPACE)
+    return not any(c in text and (c + " " in text or " " + c in text) for c in (ASCII_SPACES if text.isascii() else SPACES))
 
 
 class _Numbers(dict):
     """A number for each key, in the order in which they come."""
 
-    def __missing__(self, key: str | tuple[str]) -> int:
+    def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
         return n
 
@@ -88,52 +87,55 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        # a unit between joints is named by its text after the space, another one by a tuple
-        self.numbers = _Numbers()
+        # units between joints by their text after the space; of others, which are few, the ids
+        self.numbers, self.others = _Numbers(), {}
         # where the ids of each unit begin and how many they are; room is doubled when it is used up
         self.starts, self.sizes, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
     def _learn(self, since: int) -> None:
         """The ids of the units numbered from ``since``."""
-        joint, single, ended, heads = [], [], [], []
-        for n, u in enumerate(islice(self.numbers, since, None), since):
-            if not isinstance(u, str):
-                single.append((n, u[0]))
-            elif u[-1] in self.stops and u[:-1].isalpha() and u.isascii():  # letters and a stop are tokens of their own
-                ended.append((n, self.stops[u[-1]]))
-                heads.append(u[:-1])
-            else:
-                joint.append((n, u))
+        new = pa.array(islice(self.numbers, since, None), pa.string())
+        if not len(new):
+            return
+        # ASCII letters and a stop are tokens of their own: the ids of the letters and that of the stop
+        ended = pc.match_substring_regex(new, "^[A-Za-z]+[.,;:!?]$").to_numpy(zero_copy_only=False) & bool(self.stops)
+        places = np.flatnonzero(ended)
+        heads = pc.utf8_slice_codeunits(new.take(pa.array(places)), 0, -1).to_pylist()
         known = len(self.numbers)
         head = np.fromiter(map(self.numbers.__getitem__, heads), np.int64, len(heads))
-        joint += enumerate(islice(self.numbers, known, None), known)
+        more = pa.array(islice(self.numbers, known, None), pa.string())
         while len(self.numbers) > len(self.sizes):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        for at in range(0, len(joint), 1000):
-            places, part = zip(*joint[at:at + 1000])
-            # encoded as one text; each token's bytes tell which unit it is of
-            text = " " + " ".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum(self.widths[ids])
-            units = np.cumsum([1 + len(u if text.isascii() else u.encode()) for u in part])
-            last = np.searchsorted(ends, units)
-            if last[-1] == len(ids) - 1 and (ends[last] == units).all():
-                self._keep(list(places), ids, np.concatenate(([0], last[:-1] + 1)))
-            else:  # the vocabulary is not one of bytes
-                single += [(n, " " + u) for n, u in zip(places, part)]
-        for n, unit in single:
-            self._keep([n], np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, np.int32), np.zeros(1, np.int64))
-        if ended:
-            places, stops = zip(*ended)
+        self._learn_joined(np.concatenate([np.flatnonzero(~ended) + since, np.arange(len(more)) + known]),
+                           pa.concat_arrays([new.filter(pa.array(~ended)), more]))
+        if len(places):
             sizes = self.sizes[head] + 1
             ends = np.cumsum(sizes)
             at = np.arange(ends[-1]) + np.repeat(self.starts[head] - ends + sizes, sizes)
             at[ends - 1] = 0  # the stop's place
             ids = self.ids[at]
-            ids[ends - 1] = stops
-            self._keep(list(places), ids, ends - sizes)
+            ids[ends - 1] = [self.stops[c] for c in pc.utf8_slice_codeunits(new.take(pa.array(places)), -1).to_pylist()]
+            self._keep(places + since, ids, ends - sizes)
+
+    def _learn_joined(self, numbers: np.ndarray, units: pa.Array) -> None:
+        """Units are encoded as one text; each token's bytes tell which unit it is of."""
+        words, sizes = units.to_pylist(), pc.binary_length(units).to_numpy(zero_copy_only=False)
+        for at in range(0, len(words), 1000):
+            part = words[at:at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum(self.widths[ids])
+            until = np.cumsum(sizes[at:at + 1000] + 1)
+            last = np.searchsorted(ends, until)
+            if last[-1] == len(ids) - 1 and (ends[last] == until).all():
+                self._keep(numbers[at:at + 1000], ids, np.concatenate(([0], last[:-1] + 1)))
+            else:  # the vocabulary is not one of bytes
+                for n, unit in zip(numbers[at:at + 1000], part):
+                    self._keep(np.array([n]), self._alone(" " + unit), np.zeros(1, np.int64))
+
+    def _alone(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _keep(self, units: list[int], ids: np.ndarray, starts: np.ndarray) -> None:
+    def _keep(self, units: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used:self.used + len(ids)] = ids
@@ -141,8 +143,8 @@ class Encoder:
         self.sizes[units] = np.diff(starts, append=len(ids))
         self.used += len(ids)
 
-    def _units(self, text: str) -> Iterator[list[str | tuple[str]]]:
-        """The units of a text, some at a time."""
+    def _units(self, text: str) -> Iterator[tuple[str, list[str], str]]:
+        """What begins a part of the text without a joint, its units after joints (without the space) and what ends it."""
         at = 0
         while at < len(text):
             end = len(text)
@@ -151,22 +153,18 @@ class Encoder:
             # a part that begins at a joint begins with its space
             rest = text[at + 1:end] if at else text[:end]
             words = rest.split(" ") if _single_spaced(rest) else JOINT.split(rest)
-            if not at:
-                words[0] = (words[0],)
-            if len(words) + (at > 0) > 1 and words[-1][-1].isspace():
-                words[-1] = (" " + words[-1],)
-            yield words
+            first = "" if at else words.pop(0)
+            last = " " + words.pop() if words and words[-1][-1].isspace() else ""
+            yield first, words, last
             at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_unit:
-            return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in texts]
+            return [self._alone(x) for x in texts]
         out = [[] for _ in texts]
         units, spans = [], []
 
         def done() -> None:
-            if not units:
-                return
             if len(self.numbers) > self.units:
                 self.forget()
             known = len(self.numbers)
@@ -174,20 +172,26 @@ class Encoder:
             self._learn(known)
             sizes = self.sizes[where]
             ends = np.cumsum(sizes)
-            ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[where] - ends + sizes, sizes)]
-            for k, a, b in spans:
-                out[k].append(ids[ends[a] - sizes[a]:ends[b - 1]])
+            ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[where] - ends + sizes, sizes)]
+            ends = np.concatenate(([0], ends))
+            for k, first, a, b, last in spans:
+                out[k] += [self._other(first), ids[ends[a]:ends[b]], self._other(last)]
             units.clear()
             spans.clear()
 
         for k, text in enumerate(texts):
-            for part in self._units(text):
-                spans.append((k, len(units), len(units) + len(part)))
-                units += part
+            for first, words, last in self._units(text):
+                spans.append((k, first, len(units), len(units) + len(words), last))
+                units += words
                 if len(units) >= 200_000:
                     done()
         done()
-        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in out]
+        return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
+
+    def _other(self, unit: str) -> np.ndarray:
+        if (found := self.others.get(unit)) is None:
+            found = self.others[unit] = self._alone(unit)
+        return found
 
 
 @cache
