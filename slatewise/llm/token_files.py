@@ -15,7 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ STRIPE = 16 << 20
 STRIDE = 2000  # rows of a row group
 TEXTS = 200  # texts in an Arrow batch
 PIECE = 1 << 18  # characters that are split into units at a time
-UNITS = 1 << 18  # units that a Python worker remembers
+UNITS = 1 << 20  # units that a Python worker remembers
 HELD = 1 << 20  # ids that a task holds before it sends them on
 
 # A single space between two characters that are not white space: no token of the pre-tokenizer below goes
@@ -52,12 +52,30 @@ def _single_spaced(text: str) -> bool:
 
 
 class _Numbers(dict):
-    """A number for each key, in the order in which they come."""
+    """A number for each key, in the order in which they come; ``new`` has the keys since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
 
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
+        self.new.append(key)
         return n
 
+    def taken(self) -> pa.Array:
+        out, self.new = self.new, []
+        return pa.array(out, pa.string())
+
+
+# The characters that stand for bytes in a byte-level vocabulary: a printing byte for itself, the others from U+0100 on.
+_PRINTING = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_SIGNS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTING)}
+_LETTERS = "^[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+$"  # letters in every version of Unicode
+
+
+def _byte_signs(text: str) -> str:
+    return text if text.isascii() and " " not in text else text.encode().decode("latin-1").translate(_BYTE_SIGNS)
+
 
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own.
@@ -76,7 +94,7 @@ class Encoder:
         free = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in made["added_tokens"])
         self.by_unit = (before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
                         and made["normalizer"] is None and made["truncation"] is None and made["padding"] is None
-                        and made["model"].get("dropout") is None and free)
+                        and made["model"].get("type") == "BPE" and made["model"].get("dropout") is None and free)
         self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes that each id stands for
         for token, at in self.tokenizer.get_vocab().items():
             self.widths[at] = len(token)  # of a byte-level token: a character for each byte
@@ -92,9 +110,10 @@ class Encoder:
         # where the ids of each unit begin and how many they are; room is doubled when it is used up
         self.starts, self.sizes, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
-    def _learn(self, since: int) -> None:
-        """The ids of the units numbered from ``since``."""
-        new = pa.array(islice(self.numbers, since, None), pa.string())
+    def _learn(self) -> None:
+        """The ids of the units that were numbered since the last time."""
+        since = len(self.numbers) - len(self.numbers.new)
+        new = self.numbers.taken()
         if not len(new):
             return
         # ASCII letters and a stop are tokens of their own: the ids of the letters and that of the stop
@@ -103,11 +122,15 @@ class Encoder:
         heads = pc.utf8_slice_codeunits(new.take(pa.array(places)), 0, -1).to_pylist()
         known = len(self.numbers)
         head = np.fromiter(map(self.numbers.__getitem__, heads), np.int64, len(heads))
-        more = pa.array(islice(self.numbers, known, None), pa.string())
+        more = self.numbers.taken()
         while len(self.numbers) > len(self.sizes):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        self._learn_joined(np.concatenate([np.flatnonzero(~ended) + since, np.arange(len(more)) + known]),
-                           pa.concat_arrays([new.filter(pa.array(~ended)), more]))
+        numbers = np.concatenate([np.flatnonzero(~ended) + since, np.arange(len(more)) + known])
+        units = pa.concat_arrays([new.filter(pa.array(~ended)), more])
+        # a space and letters are one piece for the merges, without what splits other texts
+        word = pc.match_substring_regex(units, _LETTERS).to_numpy(zero_copy_only=False)
+        self._learn_words(numbers[word], units.filter(pa.array(word)).to_pylist())
+        self._learn_joined(numbers[~word], units.filter(pa.array(~word)))
         if len(places):
             sizes = self.sizes[head] + 1
             ends = np.cumsum(sizes)
@@ -117,6 +140,13 @@ class Encoder:
             ids[ends - 1] = [self.stops[c] for c in pc.utf8_slice_codeunits(new.take(pa.array(places)), -1).to_pylist()]
             self._keep(places + since, ids, ends - sizes)
 
+    def _learn_words(self, numbers: np.ndarray, words: list[str]) -> None:
+        merged, space = self.tokenizer.model.tokenize, _byte_signs(" ")
+        for at in range(0, len(words), 10_000):
+            ids = [[t.id for t in merged(space + _byte_signs(w))] for w in words[at:at + 10_000]]
+            ends = np.cumsum([0, *map(len, ids)])
+            self._keep(numbers[at:at + 10_000], np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])), ends[:-1])
+
     def _learn_joined(self, numbers: np.ndarray, units: pa.Array) -> None:
         """Units are encoded as one text; each token's bytes tell which unit it is of."""
         words, sizes = units.to_pylist(), pc.binary_length(units).to_numpy(zero_copy_only=False)
@@ -167,9 +197,8 @@ class Encoder:
         def done() -> None:
             if len(self.numbers) > self.units:
                 self.forget()
-            known = len(self.numbers)
             where = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
-            self._learn(known)
+            self._learn()
             sizes = self.sizes[where]
             ends = np.cumsum(sizes)
             ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[where] - ends + sizes, sizes)]
