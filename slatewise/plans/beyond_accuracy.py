@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import scalars, vectors
 from slatewise.operators.aggregates import normalized_distribution, vector_means, vector_sums
-from slatewise.operators.skew import global_row_number
+from slatewise.operators.skew import global_row_number, row_number_in_group
 from slatewise.schema import require_columns
 
 LIST, ITEM = "list_id", "item"
+PAIR_BLOCK = 256  # vectors of one cell where pairs are formed
 
 
 def _with_attribute(recs: DataFrame, attributes: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
@@ -24,17 +25,17 @@ def _with_attribute(recs: DataFrame, attributes: DataFrame, name: str, keys: Seq
 
 
 def intralist_diversity(recs: DataFrame, attributes: DataFrame, vector: str = "embedding", keys: Sequence[str] = (LIST,),
-                        distance: str | Callable[[Column, Column], Column] = "cosine") -> DataFrame:
+                        distance: str | Callable[[Column, Column], Column] = "cosine", block: int = PAIR_BLOCK) -> DataFrame:
     """Mean pairwise distance of each list's known items; null when fewer than two are known.
 
-    ``distance`` is a name or a function of two vector columns.
+    ``distance`` is a name or a function of two vector columns, of which two equal vectors must have none.
+    Distances other than the cosine are added over pairs of cells of at most ``block`` vectors.
     For the cosine, with unit vectors u, the pairwise sum is n(n-1) + m - |sum u|^2 over n items of
     which m are non-zero: one vector sum per list and no pairs.
     """
     require_columns(attributes, [ITEM, vector])
     if distance != "cosine":
-        rows = _with_attribute(recs, attributes, vector, keys)
-        return _pairwise_diversity(rows, vector, keys, distance)
+        return _pairwise_diversity(recs, attributes, vector, keys, distance, block)
     # vectors are scaled on the item table, before they are repeated per list
     units = attributes.filter(F.col(vector).isNotNull()).select(
         ITEM, vectors.unit(vector).alias("__u"), (vectors.norm(vector) > 0).alias("__some"))
@@ -46,17 +47,43 @@ def intralist_diversity(recs: DataFrame, attributes: DataFrame, vector: str = "e
     return sums.select(*keys, value.alias("diversity"))
 
 
-def _pairwise_diversity(rows: DataFrame, vector: str, keys: Sequence[str],
-                        distance: str | Callable[[Column, Column], Column]) -> DataFrame:
-    # other distances need the pairs of a list; they are formed inside its row
-    folded = rows.groupBy(*keys).agg(F.collect_list(vector).alias("__v"))
-    n = F.size("__v").cast("double")
-
-    def row_sum(a):
-        return F.aggregate("__v", F.lit(0.0), lambda acc, b: acc + vectors.distance(distance, a, b))
+def _vector_blocks(rows: DataFrame, attributes: DataFrame, vector: str, keys: Sequence[str], size: int, prefix: str) -> DataFrame:
+    """(keys..., <prefix>_block, <prefix>_blocks, <prefix>): the known vectors of each key in cells of at most ``size``.
 
-    total = F.aggregate(F.transform("__v", row_sum), F.lit(0.0), lambda acc, x: acc + x)
-    return folded.select(*keys, F.when(n > 1, F.try_divide(total, n * (n - 1))).alias("diversity"))
+    Items are numbered within their key before the vectors join, so a key of any length is cut evenly.
+    """
+    slim = rows.select(*keys, ITEM)
+    counts = slim.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias(f"{prefix}_blocks"))
+    numbered = row_number_in_group(slim, keys, [ITEM], "__n").withColumn(f"{prefix}_block", F.floor((F.col("__n") - 1) / size))
+    known = attributes.filter(F.col(vector).isNotNull()).select(ITEM, F.col(vector).alias("__v"))
+    cells = numbered.join(known, ITEM).groupBy(*keys, f"{prefix}_block").agg(F.collect_list("__v").alias(prefix))
+    return cells.join(counts, list(keys))
+
+
+def _pair_sum(a: str, b: str, distance: str | Callable[[Column, Column], Column]) -> Column:
+    """The distances of all vectors of cell ``a`` to all of cell ``b``, added."""
+    def from_one(x: Column) -> Column:
+        return F.aggregate(b, F.lit(0.0), lambda acc, y: acc + vectors.distance(distance, x, y))
+
+    return F.aggregate(F.transform(a, from_one), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _pairwise_diversity(recs: DataFrame, attributes: DataFrame, vector: str, keys: Sequence[str],
+                        distance: str | Callable[[Column, Column], Column], size: int) -> DataFrame:
+    # other distances need the pairs of a list: cells meet cells, each pair of them under a key of its own
+    cells = _vector_blocks(recs, attributes, vector, keys, size, "__a")
+    ahead = F.explode(F.sequence(F.col("__a_block"), F.col("__a_blocks") - 1))
+    left = cells.select(*keys, F.col("__a_block").alias("__i"), ahead.alias("__j"), "__a")
+    behind = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__a_block")))
+    right = cells.select(*keys, behind.alias("__i"), F.col("__a_block").alias("__j"), F.col("__a").alias("__b"))
+    apart = F.col("__i") < F.col("__j")
+    sums = left.join(right, [*keys, "__i", "__j"]).select(
+        *keys, (_pair_sum("__a", "__b", distance) + F.when(apart, _pair_sum("__b", "__a", distance)).otherwise(0.0)).alias("__sum"),
+        F.when(~apart, F.size("__a")).otherwise(0).alias("__n"))
+    totals = sums.groupBy(*keys).agg(F.sum("__sum").alias("__sum"), F.sum("__n").cast("double").alias("__n"))
+    n = F.col("__n")
+    return recs.select(*keys).distinct().join(totals, list(keys), "left").select(
+        *keys, F.when(n > 1, F.try_divide("__sum", n * (n - 1))).alias("diversity"))
 
 
 def random_subsets(candidates: DataFrame, draws: DataFrame, draw_key: str, n: int, seed: int) -> DataFrame:
@@ -183,22 +210,29 @@ def mean_unit(rows: DataFrame, attributes: DataFrame, vector: str, keys: Sequenc
 
 def serendipity(recs: DataFrame, history: DataFrame, attributes: DataFrame, vector: str = "embedding",
                 pairs: DataFrame | None = None, rec_key: str = LIST, history_key: str = LIST,
-                distance: str | Callable[[Column, Column], Column] = "cosine") -> DataFrame:
+                distance: str | Callable[[Column, Column], Column] = "cosine", block: int = PAIR_BLOCK) -> DataFrame:
     """Mean distance between a list and its reader's history; null if either is unknown.
 
     For the cosine the mean over all item pairs is 1 - mean(u_R) . mean(u_H), so no pairs are formed.  Other
-    distances (a name or a function of two vector columns) need them, list by history.  ``pairs`` maps lists
-    to histories when they are not the same key.
+    distances (a name or a function of two vector columns) need them: lists and histories are cut into cells of at
+    most ``block`` vectors, and each cell of a list meets each of its history under a key of its own.  ``pairs``
+    maps lists to histories when they are not the same key.
     """
     if pairs is None:
         pairs = recs.select(rec_key).distinct()
     if distance != "cosine":
-        known = attributes.filter(F.col(vector).isNotNull()).select(ITEM, vector)
-        left = recs.select(rec_key, ITEM).join(known.withColumnRenamed(vector, "__r"), ITEM).drop(ITEM)
-        right = history.select(history_key, ITEM).join(known.withColumnRenamed(vector, "__h"), ITEM).drop(ITEM)
-        apart = pairs.join(left, rec_key, "left").join(right, history_key, "left").withColumn(
-            "__d", vectors.distance(distance, F.col("__r"), F.col("__h")))
-        return apart.groupBy(*pairs.columns).agg(F.avg("__d").alias("serendipity"))
+        left = _vector_blocks(recs, attributes, vector, [rec_key], block, "__r")
+        right = _vector_blocks(history, attributes, vector, [history_key], block, "__h")
+        met = pairs.select(rec_key, history_key).distinct() if rec_key != history_key else pairs.select(rec_key).distinct()
+        for cells, key, prefix in ((left, rec_key, "__r"), (right, history_key, "__h")):
+            numbers = cells.groupBy(key).agg(F.max(f"{prefix}_block").alias("__last"))
+            met = met.join(numbers, key).withColumn(f"{prefix}_block", F.explode(F.sequence(F.lit(0).cast("long"), "__last"))).drop("__last")
+        met = (met.join(left.drop("__r_blocks"), [rec_key, "__r_block"]).join(right.drop("__h_blocks"), [history_key, "__h_block"])
+               .select(rec_key, *([history_key] if history_key != rec_key else []), _pair_sum("__r", "__h", distance).alias("__sum"),
+                       (F.size("__r") * F.size("__h").cast("long")).alias("__n")))
+        own = list(dict.fromkeys([rec_key, history_key]))
+        means = met.groupBy(*own).agg(F.try_divide(F.sum("__sum"), F.sum("__n")).alias("serendipity"))
+        return pairs.join(means, own, "left").select(*pairs.columns, "serendipity")
     left = mean_unit(recs, attributes, vector, [rec_key], "__r")
     right = mean_unit(history, attributes, vector, [history_key], "__h")
     both = pairs.join(left, rec_key, "left").join(right, history_key, "left")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,17 @@ def local_session(cores: int | str = "*", app: str = "slatewise", **conf: str) -
     return configure(builder.getOrCreate())
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the actions inside; the one before is put back."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed now and read from the shared checkpoint folder from then on."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -1,7 +1,10 @@
 """Vector sums with holes, running sums, list segments, subsets and plans without nested subqueries."""
 
 import itertools
+import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +87,71 @@ def test_plans_do_not_repeat_themselves(star):
     assert plan(softmax).count("Exchange") <= 5
     items = beyond.attributes(star)
     assert plan(items).count("lineitem.parquet") == 0  # the counts are read from the checkpoint
+
+
+# ---- pairs of any distance in cells of bounded size
+
+
+def plain_distance(kind, a, b):
+    a, b = np.array(a), np.array(b)
+    return {"euclidean": np.linalg.norm(a - b), "manhattan": np.abs(a - b).sum(), "skewed": np.abs(a - b).sum() + max(a[0] - b[0], 0)}[kind]
+
+
+def pair_tables(spark, seed=0):
+    rng = random.Random(seed)
+    vecs = {i: ([rng.gauss(0, 1) for _ in range(3)] if i % 7 else None) for i in range(20)}
+    lists = {k: [rng.randrange(24) for _ in range(n)] for k, n in enumerate([0, 1, 2, 3, 9, 14, 40])}
+    lists[7] = [3] * 5 + [4]
+    lists[8] = [0, 23]
+    recs = spark.createDataFrame([(k, p, i) for k, own in lists.items() for p, i in enumerate(own)], "list_id long, pos long, item long")
+    attributes = spark.createDataFrame(list(vecs.items()), "item long, embedding array<double>")
+    return {i: v for i, v in vecs.items() if v}, lists, recs, attributes
+
+
+def skewed(a, b):
+    gap = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    return gap + F.greatest(F.get(a, F.lit(0)) - F.get(b, F.lit(0)), F.lit(0.0))
+
+
+@pytest.mark.parametrize("kind, distance", [("euclidean", "euclidean"), ("manhattan", "manhattan"), ("skewed", skewed)])
+@pytest.mark.parametrize("block", [1, 2, 256])
+def test_diversity_over_cells(spark, kind, distance, block):
+    vecs, lists, recs, attributes = pair_tables(spark)
+    got = {r["list_id"]: r["diversity"] for r in B.intralist_diversity(recs, attributes, distance=distance, block=block).collect()}
+    assert got.keys() == {k for k, own in lists.items() if own}
+    for k, own in lists.items():
+        known = [vecs[i] for i in own if i in vecs]
+        if len(known) > 1:
+            want = sum(plain_distance(kind, a, b) for a in known for b in known) / (len(known) * (len(known) - 1))
+            assert got[k] == pytest.approx(want, abs=1e-9)
+        else:
+            assert got.get(k) is None
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_serendipity_over_cells(spark, block):
+    vecs, lists, recs, attributes = pair_tables(spark, 1)
+    history = recs.select(F.col("list_id").alias("reader"), "item")
+    pairs = spark.createDataFrame([(a, b) for a in lists for b in (a, 6, 99)], "list_id long, reader long").distinct()
+    got = B.serendipity(recs, history, attributes, pairs=pairs, history_key="reader", distance="euclidean", block=block).collect()
+    assert len(got) == pairs.count()
+    for r in got:
+        left, right = ([vecs[i] for i in lists.get(k, []) if i in vecs] for k in (r["list_id"], r["reader"]))
+        if left and right:
+            want = np.mean([plain_distance("euclidean", a, b) for a in left for b in right])
+            assert r["serendipity"] == pytest.approx(want, abs=1e-9)
+        else:
+            assert r["serendipity"] is None
+    same = B.serendipity(recs, recs.select("list_id", "item"), attributes, distance="euclidean", block=block).collect()
+    assert {r["list_id"] for r in same} == {k for k, own in lists.items() if own}
+
+
+def test_no_cell_holds_a_whole_list(spark):
+    _, _, recs, attributes = pair_tables(spark)
+    history = recs.select(F.col("list_id").alias("reader"), "item")
+    pairs = recs.select("list_id", F.col("list_id").alias("reader")).distinct()
+    for df in (B.intralist_diversity(recs, attributes, distance="euclidean", block=2),
+               B.serendipity(recs, history, attributes, pairs=pairs, history_key="reader", distance="euclidean", block=2)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        folds = [line for line in plan.splitlines() if "collect_list" in line]
+        assert folds and all(re.search(r"Aggregate \[[^\]]*_block#", line) for line in folds)
