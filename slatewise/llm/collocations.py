@@ -7,7 +7,7 @@ a phrase of the border turns out frequent (a failure), phrases that have it as a
 another full pass counts those, until no pass brings a failure.  As every part of a frequent phrase is
 frequent, the frequent phrases are then complete, however the sample fell.
 
-The proposal reaches the tasks as a bit map of a fixed size for each level.  It may let other phrases through,
+The proposal reaches the tasks as a bit map of a bounded size for each level.  It may let other phrases through,
 which are then counted exactly as well; it never loses one.
 """
 
@@ -31,7 +31,8 @@ LONGEST = 4
 LEAST = 30
 TOP = 2000
 SAMPLE = 8  # one document in so many is in the sample
-MAP_BITS = 27  # 16 MB for each level
+MAP_BITS = 27  # a bit map of a level has 16 MB at most
+KEY_BITS = 32  # and so many bits for each phrase below that
 FLUSH = 1 << 21  # words that a task codes and counts at a time
 SLAB = 1 << 22  # bytes of a text that are split at a time
 TEXTS = 500  # texts in an Arrow batch
@@ -54,9 +55,13 @@ def _longer(first: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(first * ODD + word)
 
 
-def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    low = hashes & np.uint64(len(bits) * 64 - 1)
-    return (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+def _in_maps(maps: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Whether a hash may be in one of the bit maps, each of a power of two of bits."""
+    found = np.zeros(len(hashes), bool)
+    for bits in maps:
+        low = hashes & np.uint64(len(bits) * 64 - 1)
+        found |= (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+    return found
 
 
 class _Words(dict):
@@ -105,7 +110,7 @@ def _distinct(seq: np.ndarray, at: np.ndarray, size: int) -> tuple[list[np.ndarr
     return [key, *reversed(words)], n
 
 
-def _counted(text: _Text, levels: dict[int, int], known: list[np.ndarray], fresh: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+def _counted(text: _Text, levels: dict[int, int], known: list[list[np.ndarray]], fresh: list[list[np.ndarray]] | None) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of ``levels`` whose parts are ``known`` (of level k at k - 1), one of them ``fresh``."""
     seq = np.concatenate(text.parts)
     names = pa.array([w for w in text.words], pa.binary())
@@ -124,11 +129,11 @@ def _counted(text: _Text, levels: dict[int, int], known: list[np.ndarray], fresh
         if len(seq) < size:
             return
         # here: a phrase of size - 1 words begins at the place; code: its hash
-        part = here & _in_map(known[size - 2], code)
+        part = here & _in_maps(known[size - 2], code)
         ok = part[:-1] & part[1:]
         if size in levels and levels[size]:
             if fresh is not None:
-                new = here & _in_map(fresh[size - 2], code)
+                new = here & _in_maps(fresh[size - 2], code)
                 chosen = ok & (new[:-1] | new[1:])
             else:
                 chosen = ok
@@ -151,9 +156,10 @@ def _rows(lang: str, phrases: pa.Array, size: int, n: np.ndarray) -> pa.RecordBa
                                        pa.array(n, pa.int64())], ["lang", "phrase", "size", "n"])
 
 
-def _pass(texts: DataFrame, levels: dict[int, int], known: list[np.ndarray], keep: str, fresh: list[np.ndarray] | None = None) -> DataFrame:
+def _pass(texts: DataFrame, levels: dict[int, int], known: list[list[np.ndarray]], keep: str,
+          fresh: list[list[np.ndarray]] | None = None) -> DataFrame:
     """(lang, phrase, size, n) of one pass over ``texts`` (lang, text as bytes): the summed counts that ``keep`` holds for."""
-    maps = texts.sparkSession.sparkContext.broadcast((known, fresh))  # of a fixed size
+    maps = texts.sparkSession.sparkContext.broadcast((known, fresh))  # MAP_BITS for each level at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, _Text] = {}
@@ -173,34 +179,40 @@ def _pass(texts: DataFrame, levels: dict[int, int], known: list[np.ndarray], kee
 
     summed = texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
     out = checkpointed(summed.filter(keep))
-    maps.unpersist()
+    maps.unpersist(blocking=True)
     return out
 
 
-def _map_of(phrases: DataFrame, bits: int) -> list[np.ndarray]:
-    """A bit map for each level from 1 to ``LONGEST`` - 1 of (lang, phrase, size)."""
+def _map_of(phrases: DataFrame, most: int) -> list[list[np.ndarray]]:
+    """For each level from 1 to ``LONGEST`` - 1 of (lang, phrase, size) a bit map, or none where the level is empty.
+
+    A map has ``KEY_BITS`` bits for each phrase, but never more than 2 ** ``most``.
+    """
+    counts = dict(phrases.filter(F.col("size") < LONGEST).groupBy("size").count().collect())  # LONGEST - 1 rows
+    widths = {k: min(most, max(6, (KEY_BITS * n - 1).bit_length())) for k, n in counts.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = np.zeros(b.num_rows, np.uint64)
-            for i, (lang, phrase) in enumerate(zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist())):
+            for i, (lang, phrase, size) in enumerate(zip(*(b.column(c).to_pylist() for c in ("lang", "phrase", "size")))):
                 seed = _seed(lang)
                 words = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in phrase.encode().split(b" ")), np.uint64)
                 code = words[:1]
                 for k in range(1, len(words)):
                     code = _longer(code, words[k:k + 1])
-                out[i] = code[0]
-            low = out & np.uint64((1 << bits) - 1)
-            yield pa.RecordBatch.from_arrays([b.column("size"), pa.array((low >> np.uint64(6)).view(np.int64)),
-                                              pa.array((np.uint64(1) << (low & np.uint64(63))).view(np.int64))], ["size", "word", "bits"])
+                out[i] = code[0] & np.uint64((1 << widths[size]) - 1)
+            yield pa.RecordBatch.from_arrays([b.column("size"), pa.array((out >> np.uint64(6)).view(np.int64)),
+                                              pa.array((np.uint64(1) << (out & np.uint64(63))).view(np.int64))], ["size", "word", "bits"])
 
     marks = (phrases.filter(F.col("size") < LONGEST).select("lang", "phrase", "size").mapInArrow(run, "size int, word long, bits long")
-             .groupBy("size", "word").agg(F.bit_or("bits").alias("bits")).toArrow())  # 2 ** (bits - 6) rows a level at most
+             .groupBy("size", "word").agg(F.bit_or("bits").alias("bits")).toArrow())  # 2 ** (most - 6) rows a level at most
     out = []
     for k in range(1, LONGEST):
         part = marks.filter(pc.equal(marks.column("size"), k))
-        level = np.zeros(1 << (bits - 6), np.uint64)
-        level[part.column("word").to_numpy()] = part.column("bits").to_numpy().view(np.uint64)
-        out.append(level)
+        level = np.zeros(1 << (widths[k] - 6), np.uint64) if k in widths else None
+        if level is not None:
+            level[part.column("word").to_numpy()] = part.column("bits").to_numpy().view(np.uint64)
+        out.append([] if level is None else [level])
     return out
 
 
@@ -213,31 +225,30 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id"
     """(lang, phrase, size, n): every phrase of 1 to 4 words with at least ``least`` occurrences in its language,
     and a row of size 0 with an empty phrase that counts all words of the language.
 
-    ``sample`` says which part of the documents proposes, ``bits`` the size of the bit maps; neither changes the
+    ``sample`` says which part of the documents proposes, ``bits`` bounds the size of the bit maps; neither changes the
     result.  A null text is empty, a null language is ``und``, and repeated rows count each.
     """
     spark = docs.sparkSession
     texts = docs.select(*_source(docs, text_col, lang_col))
     few = max(2, least // sample)  # of the sample's occurrences
-    nothing = [np.zeros(1 << (bits - 6), np.uint64) for _ in range(1, LONGEST)]
     with batches_of(spark, TEXTS):
         # by id and text, so that neither copies nor a repeated id fill the sample
         drawn = written(docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(sample)) == 0)
                         .select(*_source(docs, text_col, lang_col)), "sample")
-        proposed, known = None, nothing
+        proposed, known = None, [[] for _ in range(1, LONGEST)]
         for size in range(1, LONGEST + 1):
             level = _pass(drawn, {size: 1}, known, f"n >= {few}").select("lang", "phrase", "size")
             proposed = level if proposed is None else proposed.unionByName(level)
-            known = [a | b for a, b in zip(known, _map_of(level, bits))]
+            known = [a + b for a, b in zip(known, _map_of(level, bits))]
         every = {k: 1 for k in range(LONGEST + 1)}
         found = _pass(texts, every, known, f"n >= {least} or size = 0")
         new = found.filter("size > 0").join(proposed, ["lang", "phrase", "size"], "left_anti")
         while True:
             fresh = _map_of(new, bits)
-            if not any(x.any() for x in fresh):  # nothing new that a longer phrase could have as a part
+            if not any(fresh):  # nothing new that a longer phrase could have as a part
                 return found
-            known = [a | b for a, b in zip(known, fresh)]
-            levels = {k: int(fresh[k - 2].any()) for k in range(2, LONGEST + 1)}
+            known = [a + b for a, b in zip(known, fresh)]
+            levels = {k: len(fresh[k - 2]) for k in range(2, LONGEST + 1)}
             more = _pass(texts, levels, known, f"n >= {least}", fresh)
             new = checkpointed(more.join(found, ["lang", "phrase", "size"], "left_anti"))
             found = checkpointed(found.unionByName(new))

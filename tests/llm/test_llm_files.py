@@ -171,7 +171,7 @@ def test_collocations(spark, sample, bits):
 def test_flushes_and_slabs_change_nothing(monkeypatch):
     rng = random.Random(8)
     texts = [some_text(rng, ["a", "b", "c"], 200).encode() for _ in range(6)]
-    full = [np.full(4, np.iinfo(np.uint64).max, np.uint64)] * 3
+    full = [[np.full(4, np.iinfo(np.uint64).max, np.uint64)]] * 3
 
     def counts():
         text, total = collocations._Text("en"), collections.Counter()
