@@ -117,11 +117,6 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(out) | np.uint64(1)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """A 64-bit name of a row's id and text."""
-    return F.xxhash64(F.col(id_col), whole(text_col))
-
-
 def as_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 

@@ -9,11 +9,6 @@ split further down and a sparse one early.
 
 A task reports how the fingerprints it holds hang together (each linked to the smallest of its part), not
 every pair: the output of a crowded group grows with its size and not with its square.
-
-``near_duplicates`` links documents by one fingerprint.  ``similar_links`` is for a similarity of shingle sets,
-at which fingerprints of 64 bits differ in too many bits for the trie: least shingles under several hashes, in
-bands, propose links that the texts then confirm.  Two sets agree in a least shingle with the probability of
-their similarity, whichever way the texts were edited.
 """
 
 from __future__ import annotations
@@ -27,8 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatewise.llm.common import (ODD, as_row, bit_map, checkpointed, mixed, only_marked, row_key, shingle_hashes, small_batches,
-                                  table, whole, word_hashes, written)
+from slatewise.llm.common import as_row, checkpointed, small_batches, table, whole
 from slatewise.llm.graph import components
 
 SHINGLE = 3
@@ -36,13 +30,6 @@ ERRORS = 2
 SEED = 42
 LEAF = 8192
 STEP = 4
-BANDS = 32
-ROWS = 4  # least shingles that agree in a band; a pair at 0.8 agrees in none of the bands once in 2 * 10**7
-SKETCH_BITS = BANDS * ROWS
-SKETCH_APART = 36  # of these bits: a pair at 0.8 differs in more twice in 10**9
-GROWTH = 8  # how many times more leads a band gets in each round
-SIMILAR = 0.8
-SIMILAR_SHINGLE = 5
 SLAB = 1 << 16  # shingles whose bits are spread out at a time
 
 
@@ -231,133 +218,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """The distinct shingles, sorted; a text of fewer words is one shingle, a text without words has none."""
-    words = word_hashes(text)
-    return np.unique(shingle_hashes(words, min(shingle, len(words)))) if len(words) else words
-
-
-FACTORS = (mixed(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * ODD) | np.uint64(1))[:, None]
-
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
+    """``docs`` with one document of each group that ``near_duplicates`` finds: the one with the smallest id, a null id last.
 
-def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each band, and a sketch of one bit for each least shingle in two 64-bit numbers."""
-    least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), SLAB // 16):
-        least = np.minimum(least, (shingles[at:at + SLAB // 16] * FACTORS).min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        keys = mixed(keys * ODD + rows[:, k])
-    bits = np.packbits((mixed(least) & np.uint64(1)).astype(np.uint8), bitorder="little")
-    return keys.view(np.int64), bits.view("<i8")
-
-
-def band_members(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(band, key, size, lo, hi): every row key in the bands that it shares with another one, with its number of
-    shingles and its sketch."""
-    small_batches(docs.sparkSession, 500)
-    source = docs.select(row_key(id_col, text_col).alias("key"), whole(text_col).cast("binary").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(x, shingle) for x in b.column("text").to_pylist()]
-            marks = [band_keys(x) for x in sets]
-            bands = pa.array([m[0].tolist() for m in marks], pa.list_(pa.int64()))
-            sketch = [pa.array([int(m[1][k]) for m in marks], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([len(x) for x in sets], pa.int64()), *sketch, bands],
-                                             ["key", "size", "lo", "hi", "bands"])
-
-    marks = written(source.mapInArrow(run, "key long, size long, lo long, hi long, bands array<long>"), "bands")
-    rows = marks.select(F.explode("bands").alias("band"), "key", "size", "lo", "hi")
-    seen = rows.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    shared = bit_map(seen.filter("least <> most").select("band"))
-    return written(only_marked(rows, "band", shared).distinct(), "members")
-
-
-def _confirmed(links: DataFrame, texts: DataFrame, similar: float, shingle: int) -> DataFrame:
-    """Those of ``links`` whose texts (key, text) are at least ``similar``."""
-    both = links.join(texts.withColumnsRenamed({"key": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "y"}), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ys = None, None
-        for b in batches:
-            score = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                if y != last:
-                    last, ys = y, shingle_set(y, shingle)
-                xs = shingle_set(x, shingle)
-                shared = len(np.intersect1d(xs, ys, assume_unique=True))
-                every = len(xs) + len(ys) - shared
-                score.append(shared / every if every else 1.0)
-            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(score, pa.float64())], ["a", "b", "similarity"])
-            yield out.filter(pa.array([s >= similar for s in score], pa.bool_()))
-
-    return checkpointed(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double").distinct())
-
-
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR,
-                  shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(a, b, similarity): confirmed links between rows, named by ``row_key``; the Jaccard similarity of the
-    sets of shingles is at least ``similar``.  Two texts without words are alike.
-
-    In each round the members of a band are compared with some leads of it, as far as confirmed links have not
-    joined them yet: a link within a group could add nothing, and a band of near copies has very many pairs.
-    A band is done when one group holds it, or when all its members have been leads, so that every pair that
-    shares a band is confirmed, found too far apart, or within a group.  A key has the same place in the
-    order of leads everywhere.
-    """
-    members = band_members(docs, id_col, text_col, shingle)
-    place = F.xxhash64("key")
-    sizes = checkpointed(members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"))
-    source = docs.select(row_key(id_col, text_col).alias("key"), whole(text_col).cast("binary").alias("text"))
-    named = bit_map(members.join(sizes, "band", "left_semi").select("key").distinct())
-    texts = written(only_marked(source, "key", named).dropDuplicates(["key"]), "texts")
-    # the place in the order as a rank among n, about one key to each; the first key of a band always has rank 0
-    rank = F.when(place == F.col("first"), 0).otherwise(F.floor(F.pmod(place, F.lit(1 << 30)) * F.col("n") / F.lit(1 << 30)))
-    ranked = written(members.join(sizes, "band").withColumn("rank", rank.cast("long")).drop("first"), "ranked")
-    group, sure, tried, done, leads = None, None, None, 0, 1
-    while True:
-        if group is None:
-            state = ranked.withColumn("root", F.col("key"))
-        else:
-            state = (ranked.filter(F.col("n") > done).join(group.withColumnRenamed("node", "key"), "key", "left")
-                     .withColumn("root", F.coalesce("root", "key")))
-            mixed_ = state.groupBy("band").agg(F.min("root").alias("lo_root"), F.max("root").alias("hi_root")).filter("lo_root <> hi_root")
-            state = state.join(mixed_.select("band"), "band", "left_semi")
-        state = checkpointed(state)
-        if state.isEmpty():
-            return sure if sure is not None else docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
-        x = state.filter((F.col("rank") >= done) & (F.col("rank") < leads))
-        x = x.select("band", *[F.col(c).alias(f"x_{c}") for c in ("key", "size", "lo", "hi", "root")])
-        apart = F.bit_count(F.col("lo").bitwiseXOR(F.col("x_lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("x_hi")))
-        least, most = F.least("size", "x_size"), F.greatest("size", "x_size")
-        near = (state.filter(F.col("rank") >= done).join(x, "band")
-                .filter((F.col("root") != F.col("x_root")) & (apart <= SKETCH_APART) & (least >= most * similar)))
-        pairs = near.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        found = _confirmed(pairs, texts, similar, shingle)
-        tried = pairs if tried is None else checkpointed(tried.unionByName(pairs))
-        sure = found if sure is None else checkpointed(sure.unionByName(found))
-        group = checkpointed(components(sure.select("a", "b")))
-        done, leads = leads, leads * GROWTH
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one with the smallest id, a null id last.
-
-    Groups are chains of links.  Of rows that repeat id and text, the one whose other columns sort first stays.
+    Of rows with that id in one group the one with the smallest SHA-256 of its text stays, and of rows that repeat id
+    and text the one whose other columns sort first.  Columns stay as they are, whatever their names; an empty
+    table gives no rows.
     """
-    tree = checkpointed(components(similar_links(docs, id_col, text_col, **options).select("a", "b")))
-    keyed = docs.select(row_key(id_col, text_col).alias("node"), F.col(id_col).alias("id"))
-    grouped = checkpointed(tree.join(keyed, "node"))
-    first = F.struct(F.col("id").isNull(), "id", "node")
-    stay = grouped.groupBy("root").agg(F.min(first)["node"].alias("node"))
-    gone = checkpointed(grouped.select("node").distinct().join(stay, "node", "left_anti").withColumnRenamed("node", "key"))
-    rows = docs.select(row_key(id_col, text_col).alias("key"), as_row(docs)).join(gone, "key", "left_anti")
-    return rows.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.sha2(whole(text_col), 256).alias("sha"))
+    found = checkpointed(near_duplicates(docs.select(name.alias("name"), F.col(text_col).alias("text")), "name", "text", shingle, errors)
+                         .select(F.col("name"), (F.col("name") != F.col("component_id")).alias("gone")))
+    gone = found.filter("gone").select("name").distinct()
+    again = found.filter("not gone").groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
+    rows = docs.select(name.alias("name"), as_row(docs)).join(gone, "name", "left_anti")
+    once = rows.join(again, "name", "left_anti").select("row.*")
+    return once.unionByName(rows.join(again, "name", "left_semi").groupBy("name").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -236,7 +236,8 @@ def read_chunks(files: DataFrame, folder: str, chunk: int = CHUNK, with_data: bo
     match its digest is an error.
     """
     small_batches(files.sparkSession, BATCH)
-    spread = files.select("path").repartition("path")
+    # as many parts as files: without a number, adaptive execution joins parts, as each holds a few names only
+    spread = files.select("path").repartition(max(1, files.count()), "path")
     return spread.mapInArrow(lambda b: _read(b, folder, chunk, with_data), CHUNKS)
 
 

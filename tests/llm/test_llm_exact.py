@@ -206,51 +206,33 @@ def test_walk_finds_all_pairs(crowded):
     assert len(i) == len(want) and set(zip(i.tolist(), j.tolist())) == want
 
 
-def test_drop_similar(spark):
+def near_groups(texts):
+    """The smallest position that each text reaches over fingerprints within two bits, all pairs compared."""
+    prints = np.array([simhash.fingerprint((t or "").encode()) for t in texts], np.int64).view(np.uint64)
+    i, j = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2, 1))
+    return simhash.roots(len(texts), i, j)
+
+
+def test_drop_near(spark):
+    """Near and exact copies, texts without words, nulls, repeated rows and ids, extra columns with clashing names."""
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
-    base = [[word() for _ in range(200)] for _ in range(12)]
+    base = [[word() for _ in range(600)] for _ in range(12)]
     data = [(i, " ".join(b)) for i, b in enumerate(base)]
-    for k in range(30):  # copies with two changed words: at least 190 of 206 shingles are shared
+    for k in range(30):
         b = list(base[k % 3])
-        b[rng.randrange(200)], b[rng.randrange(200)] = word(), word()
+        b[rng.randrange(600)] = word()
         data.append((100 + k, " ".join(b)))
-    data += [(200, " ".join(base[5][:120])), (201, ""), (202, None), (203, "a b"), (204, "a b"), (204, "a b")]
-    left = {r["doc_id"] for r in simhash.drop_similar(docs(spark, data)).collect()}
-    assert left == set(range(12)) | {200, 201, 203}
-
-
-def test_block_edits_are_joined(spark):
-    """Copies with a block of new words added or removed, at a similarity of 0.80 to 0.90."""
-    rng, data, pairs = random.Random(5), [], []
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    for k in range(240):
-        size = (100, 300, 1000)[k % 3]
-        text = [word() for _ in range(size)]
-        block = [word() for _ in range(int(size * (0.11, 0.17, 0.24)[k // 3 % 3]))]
-        longer = (block + text, text + block, text[:size // 2] + block + text[size // 2:])[k // 9 % 3]
-        a, b = (text, longer) if k % 2 else (longer, text)  # added, or removed
-        sets = [set(simhash.shingle_set(" ".join(t).encode()).tolist()) for t in (a, b)]
-        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
-            pairs.append(2 * k)
-        data += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
-    left = {r["doc_id"] for r in simhash.drop_similar(docs(spark, data)).collect()}
-    assert len(pairs) > 180 and left == {i for i, _ in data} - {k + 1 for k in pairs}
-
-
-def test_a_failed_lead_hides_no_pair(spark):
-    """Pairs whose similarity is confirmed among shuffles of the same words, which fail with each of them."""
-    rng, data = random.Random(6), []
-    for k in range(8):
-        base = [f"w{k}x{n}" for n in range(400)]
-        moved = base[:100] + base[140:300] + base[100:140] + base[300:]
-        data += [(100 * k, " ".join(base)), (100 * k + 1, " ".join(moved))]
-        data += [(100 * k + 2 + j, " ".join(rng.sample(base, 400))) for j in range(6)]
-    # a row of halfway copies: each is near the next one only
-    chain = [f"c{n}" for n in range(300)]
-    data += [(5000 + j, " ".join(chain[20 * j:20 * j + 200])) for j in range(6)]
-    left = {r["doc_id"] for r in simhash.drop_similar(docs(spark, data)).collect()}
-    assert left == {i for i, _ in data} - {100 * k + 1 for k in range(8)} - set(range(5001, 5006))
+    data += [(201, ""), (202, None), (203, "a b"), (204, "a b"), (None, " ".join(base[4])), (205, "long " * 20_000)]
+    want = [data[k] for k in sorted(set(near_groups([t for _, t in data]).tolist()))]
+    assert len(want) < 40
+    frame = spark.createDataFrame([(i, t, "n", 1, k % 2) for k, (i, t) in enumerate(data)], "doc_id long, text string, name string, gone int, row int")
+    got = simhash.drop_near(frame.repartition(4))
+    assert got.columns == frame.columns and sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted(want)
+    twice = frame.unionByName(frame.withColumn("row", F.lit(9)))
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.drop_near(twice).filter("row < 9").collect()) == sorted(want)
+    same = spark.createDataFrame([(7, "one text"), (7, "another text of some words"), (None, "no id"), (None, "no id")], "doc_id long, text string")
+    assert simhash.drop_near(same).count() == 3 and simhash.drop_near(same.limit(0)).count() == 0
 
 
 # ---- URLs
@@ -324,3 +306,12 @@ def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "v", "ab"), (3, "w", "long text"), (4, "x", "long text")], "page_id long, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in warc.archive_and_read(pages, scratch(spark, "t"), revisit_from=5).collect()}
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_archives_are_read_in_many_tasks(spark):
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("http://a.com/").alias("url"), F.concat(F.lit("text "), "id").alias("html"))
+    folder = scratch(spark, "warc-test")
+    files = warc.write_archives(warc.with_record_types(pages), folder, limit=1)  # a file for each record
+    assert files.count() == 60
+    tasks = warc.read_chunks(files, folder).select(F.spark_partition_id().alias("task"), "page")
+    assert tasks.select("page").distinct().count() == 60 and tasks.select("task").distinct().count() >= 20
