@@ -28,8 +28,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group whose five-word shingles are at least 0.8 alike (operator 4)."""
-    return simhash.drop_similar(docs)
+    """One document of each group of close fingerprints (operator 4)."""
+    return simhash.drop_near(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
