@@ -16,6 +16,9 @@ from slatewise.operators import lookup as K
 from slatewise.plans import boosting, collaborative, content, ensemble, encoding, features, history_length, least_squares
 from slatewise.plans import metrics as M
 from slatewise.plans.popularity import item_statistics, popularity_predictions, popularity_scores
+from slatewise.session import ensure_checkpoint_dir
+from slatewise.sources import sinks, tables
+from slatewise.sources.chunks import read_scores, score_chunks
 
 HEAD = [S.IMPRESSION, S.POS]
 
@@ -565,3 +568,32 @@ def _(s):
 def _(s):
     vecs = encoding.hashed_vectors(s.table("documents", "doc_id", "text"), "text", 64)
     return vecs.select("doc_id", F.size("embedding").alias("dims"), vectors.norm("embedding").alias("norm"))
+
+
+@query("str_3_subword_ids")
+def _(s):
+    import public_tokenizers
+
+    ids = encoding.subword_ids(s.table("documents", "doc_id", "text"), "text", public_tokenizers.path("word_bpe_49k.json"), max_length=128)
+    return ids.select("doc_id", lists.text("text_encode_word_bpe_49k").alias("text_encode_word_bpe_49k"))
+
+
+@query("snk_1_chunked_scores", "select impression_id, pos, article_id, round(read_time / 50.0, 6) as score from br_candidates")
+def _(s):
+    folder = f"{ensure_checkpoint_dir(s.spark)}/scores-{uuid.uuid4().hex}"
+    long = s.candidates().select(*HEAD, S.ARTICLE, S.READ_TIME)
+    score_chunks(long, folder, "read_time", lambda df: df.select(*HEAD, S.ARTICLE, (F.col(S.READ_TIME) / 50.0).alias(S.SCORE)), 5)
+    return read_scores(s.spark, folder, "read_time").select(*HEAD, S.ARTICLE, S.SCORE)
+
+
+@query("src_6_average_of_files", """
+select impression_id, pos, label::bigint as label, round((read_time / 50.0 + coalesce(p.score, 0.0)) / 2, 6) as score
+from br_candidates left join pop p using (article_id)""", POPULARITY)
+def _(s):
+    """Every prediction file below a folder is a model; their scores are averaged."""
+    folder = f"{ensure_checkpoint_dir(s.spark)}/predictions-{uuid.uuid4().hex}"
+    long = s.candidates()
+    sinks.write_predictions(scored(s).select(*HEAD, S.LABEL, S.SCORE), folder, "read_time")
+    sinks.write_predictions(popularity_predictions(long, popularity(s)).select(*HEAD, S.LABEL, S.SCORE), folder, "popularity")
+    files = tables.read_tree(s.spark, folder).withColumn("model", F.regexp_extract("source_file", "model=([^/]*)/", 1))
+    return ensemble.average([files.filter(F.col("model") == m) for m in ("read_time", "popularity")]).select(*HEAD, S.LABEL, S.SCORE)

@@ -29,13 +29,14 @@ _SLOT_BITS = 33  # monotonically_increasing_id keeps the row's slot in its low 3
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> DataFrame | None:
     """The keys with more than ``min_rows`` rows (``HOT_ROWS``), as a checkpointed table, or ``None``.
 
-    Runs a job: one map-side-combined count per key.
+    Runs a job: one map-side-combined count per key.  Only where a key exceeds the limit a second one writes the table.
     """
     limit = HOT_ROWS if min_rows is None else min_rows
-    ensure_checkpoint_dir(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.filter(F.col("n") > limit).select(*keys).checkpoint()
-    return None if hot.isEmpty() else hot
+    if (counts.agg(F.max("n")).first()[0] or 0) <= limit:
+        return None
+    ensure_checkpoint_dir(df.sparkSession)
+    return counts.filter(F.col("n") > limit).select(*keys).checkpoint()
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewise import schema as S
+from slatewise.operators import skew
 from slatewise.operators.longform import to_lists
 from slatewise.operators.skew import (
     hot_keys,
@@ -41,7 +42,9 @@ class Star:
 
     def _hot_of(self, table: str, column: str, name: str) -> DataFrame | None:
         if table not in self._hot:
-            hot = hot_keys(self.table(table, column), [column])
+            # a table of so few rows, which the file footers tell, has no key with more
+            few = self.table(table).count() <= skew.HOT_ROWS
+            hot = None if few else hot_keys(self.table(table, column), [column])
             self._hot[table] = hot.toDF(name) if hot is not None else None
         return self._hot[table]
 
@@ -100,7 +103,7 @@ class Star:
         """One row per impression with in-view and clicked lists; clicked is null without clicks,
         in-view empty for orders without lines."""
         packed = F.array_sort(F.collect_list(F.struct("raw_pos", S.ARTICLE, S.LABEL, S.READ_TIME)))
-        folded = self.unslotted(None).groupBy(S.IMPRESSION).agg(packed.alias("__rows"))
+        folded = self.unslotted(self.hot_impressions()).groupBy(S.IMPRESSION).agg(packed.alias("__rows"))
         clicked = F.transform(F.filter("__rows", lambda r: r[S.LABEL] == 1), lambda r: r[S.ARTICLE])
         lists = folded.select(
             S.IMPRESSION,

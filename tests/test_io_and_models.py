@@ -117,3 +117,16 @@ def test_softmax_sample_prefers_high_scores(spark):
     df = spark.range(50).select(F.col("id"), (F.col("id") >= 45).cast("double").alias("s") * 8)
     picked = P.softmax_sample(df.toDF("id", "s"), 5, 1, "s", "id").collect()
     assert len({r["id"] for r in picked}) == 5 and sum(r["id"] >= 45 for r in picked) >= 4
+
+
+def test_subword_ids(spark):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    texts = ["A short text, with stops.", "", None, "long " * 500, "\u00dcn\u00ef"]
+    df = spark.createDataFrame(list(enumerate(texts)), "text_encode_x int, text string")
+    for name, cut in (("byte_bpe_50k.json", None), ("word_bpe_49k.json", 7)):
+        plain = tokenizers.Tokenizer.from_file(public.path(name))
+        got = encoding.subword_ids(df, "text", public.path(name), max_length=cut, pad=9)
+        assert got.columns == ["text_encode_x", "text", f"text_encode_{name.removesuffix('.json')}"]
+        for i, text, ids in got.collect():
+            want = plain.encode(text or "", add_special_tokens=False).ids
+            assert ids == (want if cut is None else (want + [9] * cut)[:cut])

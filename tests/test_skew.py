@@ -86,13 +86,13 @@ def test_metrics_with_hot_impression(spark):
 
 def test_candidates_with_hot_orders(spark, monkeypatch):
     folder = "/root/testdata/sf0.001"
-    want = rows(Star(spark, folder).candidates())
+    want, lists = rows(Star(spark, folder).candidates()), rows(Star(spark, folder).behaviors())
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     few = lines.groupBy("l_orderkey").count().orderBy(F.desc("count"), "l_orderkey").limit(20)
     hot = few.select(F.col("l_orderkey").alias("impression_id"))
     star = Star(spark, folder)
     star._hot["lineitem"] = hot
-    assert rows(star.candidates()) == want
+    assert rows(star.candidates()) == want and rows(star.behaviors()) == lists
 
 
 def test_large_top_n_is_trimmed_before_the_shuffle(events):
