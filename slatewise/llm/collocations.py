@@ -4,8 +4,9 @@ A sample proposes phrases, level by level.  One full pass then counts exactly th
 negative border: phrases whose two longest parts were proposed, and which were not themselves.  The border is
 never written down; a task counts a phrase when both parts are in the proposal, which covers either kind.  If
 a phrase of the border turns out frequent (a failure), phrases that have it as a part were not counted yet:
-another full pass counts those, until no pass brings a failure.  As every part of a frequent phrase is
-frequent, the frequent phrases are then complete, however the sample fell.
+an expansion pass counts all that hold a failure and whose other parts are frequent.  Whatever it finds holds a
+failure, and so does each phrase around that, which was counted in the same pass: the set is closed.  As every
+part of a frequent phrase is frequent, the frequent phrases are then complete, however the sample fell.
 
 The proposal reaches the tasks as a bit map of a bounded size for each level.  It may let other phrases through,
 which are then counted exactly as well; it never loses one.
@@ -43,7 +44,7 @@ ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes(0x0A if c in ENDS else 0x20 if c == 0x09 else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 NO_LANG = "und"
 
-COUNTS = "lang string, phrase string, size int, n long"
+COUNTS = "key string, n long"  # the language, a line feed, which no phrase has, and the phrase
 
 
 def _seed(lang: str) -> int:
@@ -110,53 +111,48 @@ def _distinct(seq: np.ndarray, at: np.ndarray, size: int) -> tuple[list[np.ndarr
     return [key, *reversed(words)], n
 
 
-def _counted(text: _Text, levels: dict[int, int], known: list[list[np.ndarray]], fresh: list[list[np.ndarray]] | None) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of ``levels`` whose parts are ``known`` (of level k at k - 1), one of them ``fresh``."""
+def _counted(text: _Text, levels: set[int], known: list[list[np.ndarray]], fresh: list[list[np.ndarray]] | None) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of ``levels`` whose parts are ``known`` (of level k at k - 1).
+
+    With ``fresh``, which are known too, those that hold a fresh phrase: parts that hold one may be frequent or not, all
+    other parts must be known.
+    """
     seq = np.concatenate(text.parts)
     names = pa.array([w for w in text.words], pa.binary())
     seed = _seed(text.lang)
     hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in text.words), np.uint64, len(text.words))
     if 0 in levels:
-        yield _rows(text.lang, pa.array([""]), 0, np.array([np.count_nonzero(seq > 1)]))
+        yield from _rows(text.lang, pa.array([b""]), np.array([np.count_nonzero(seq > 1)]))
     if 1 in levels:
         n = np.bincount(seq, minlength=len(names))
         there = np.flatnonzero(n[2:]) + 2
-        yield from _cut(text.lang, names.take(pa.array(there)), 1, n[there])
-    word = seq > 1
-    here, at_word = word, hashes[seq]
-    code = at_word
+        yield from _rows(text.lang, names.take(pa.array(there)), n[there])
+    # at each place of seq: may the phrase that begins there be frequent, does it hold a fresh one, and its hash
+    may, code = seq > 1, hashes[seq]
+    at_word, inside = code, np.zeros(len(seq), bool)
     for size in range(2, max(levels, default=0) + 1):
         if len(seq) < size:
             return
-        # here: a phrase of size - 1 words begins at the place; code: its hash
-        part = here & _in_maps(known[size - 2], code)
-        ok = part[:-1] & part[1:]
-        if size in levels and levels[size]:
-            if fresh is not None:
-                new = here & _in_maps(fresh[size - 2], code)
-                chosen = ok & (new[:-1] | new[1:])
-            else:
-                chosen = ok
-            at = np.flatnonzero(chosen)
-            if len(at):
-                words, n = _distinct(seq, at, size)
-                phrases = pc.binary_join_element_wise(*[names.take(pa.array(w)) for w in words], b" ")
-                yield from _cut(text.lang, phrases, size, n)
-        code = _longer(code[:-1], at_word[size - 1:])
-        here = ok
-
-
-def _cut(lang: str, phrases: pa.Array, size: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        may &= inside | _in_maps(known[size - 2], code)
+        may_next = may[:-1] & may[1:]
+        if fresh is not None:
+            holds = inside | may & _in_maps(fresh[size - 2], code)
+            inside = holds[:-1] | holds[1:]
+        else:
+            inside = inside[1:]
+        if size in levels and len(at := np.flatnonzero(may_next & inside if fresh is not None else may_next)):
+            words, n = _distinct(seq, at, size)
+            yield from _rows(text.lang, pc.binary_join_element_wise(*[names.take(pa.array(w)) for w in words], b" "), n)
+        may, code = may_next, _longer(code[:-1], at_word[size - 1:])
+
+
+def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(n), 1 << 16):
-        yield _rows(lang, phrases.slice(at, 1 << 16).cast(pa.string()), size, n[at:at + (1 << 16)])
-
-
-def _rows(lang: str, phrases: pa.Array, size: int, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrases, pa.array(np.full(len(n), size, np.int32)),
-                                       pa.array(n, pa.int64())], ["lang", "phrase", "size", "n"])
+        keys = pc.binary_join_element_wise(pa.scalar(lang.encode()), phrases.slice(at, 1 << 16), b"\n").cast(pa.string())
+        yield pa.RecordBatch.from_arrays([keys, pa.array(n[at:at + (1 << 16)], pa.int64())], ["key", "n"])
 
 
-def _pass(texts: DataFrame, levels: dict[int, int], known: list[list[np.ndarray]], keep: str,
+def _pass(texts: DataFrame, levels: set[int], known: list[list[np.ndarray]], keep: str,
           fresh: list[list[np.ndarray]] | None = None) -> DataFrame:
     """(lang, phrase, size, n) of one pass over ``texts`` (lang, text as bytes): the summed counts that ``keep`` holds for."""
     maps = texts.sparkSession.sparkContext.broadcast((known, fresh))  # MAP_BITS for each level at most
@@ -177,8 +173,12 @@ def _pass(texts: DataFrame, levels: dict[int, int], known: list[list[np.ndarray]
             if own.parts:
                 yield from _counted(own, levels, *maps.value)
 
-    summed = texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-    out = checkpointed(summed.filter(keep))
+    # a task has summed already; another sum of its few rows for a phrase would cost more than it saves
+    summed = texts.mapInArrow(run, COUNTS).repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\n", -1)
+    out = checkpointed(summed.select(
+        F.expr("substring(key, 1, length(key) - length(substring_index(key, '\\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"),
+        F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1).alias("size"), "n").filter(keep))
     maps.unpersist(blocking=True)
     return out
 
@@ -236,22 +236,19 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id"
         drawn = written(docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(sample)) == 0)
                         .select(*_source(docs, text_col, lang_col)), "sample")
         proposed, known = None, [[] for _ in range(1, LONGEST)]
-        for size in range(1, LONGEST + 1):
-            level = _pass(drawn, {size: 1}, known, f"n >= {few}").select("lang", "phrase", "size")
+        for size in range(1, LONGEST):  # the longest are no part of others
+            level = _pass(drawn, {size}, known, f"n >= {few}").select("lang", "phrase", "size")
             proposed = level if proposed is None else proposed.unionByName(level)
             known = [a + b for a, b in zip(known, _map_of(level, bits))]
-        every = {k: 1 for k in range(LONGEST + 1)}
-        found = _pass(texts, every, known, f"n >= {least} or size = 0")
-        new = found.filter("size > 0").join(proposed, ["lang", "phrase", "size"], "left_anti")
-        while True:
-            fresh = _map_of(new, bits)
-            if not any(fresh):  # nothing new that a longer phrase could have as a part
-                return found
-            known = [a + b for a, b in zip(known, fresh)]
-            levels = {k: len(fresh[k - 2]) for k in range(2, LONGEST + 1)}
-            more = _pass(texts, levels, known, f"n >= {least}", fresh)
-            new = checkpointed(more.join(found, ["lang", "phrase", "size"], "left_anti"))
-            found = checkpointed(found.unionByName(new))
+        found = _pass(texts, set(range(LONGEST + 1)), known, f"n >= {least} or size = 0")
+        failed = checkpointed(found.filter(f"size > 0 and size < {LONGEST}").join(proposed, ["lang", "phrase", "size"], "left_anti"))
+        fresh = _map_of(failed, bits)
+        if not any(fresh):
+            return found
+        # every phrase that holds a failure is counted now, so none that this finds can be part of one that is not counted
+        known = [a + b for a, b in zip(known, fresh)]
+        more = _pass(texts, set(range(2, LONGEST + 1)), known, f"n >= {least}", fresh)
+        return checkpointed(found.unionByName(more.join(found, ["lang", "phrase", "size"], "left_anti")))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, id_col: str = "doc_id", text_col: str = "text",
