@@ -118,3 +118,13 @@ def test_group_values_with_hot_key(events):
     got = skew.with_group_values(events, ["user_id"], values, hot)
     want = skew.with_group_values(events, ["user_id"], values, None)
     assert rows(got) == rows(want)
+
+
+def test_tasks_of_lines_grow_with_the_lines(spark, monkeypatch):
+    # adaptive execution merged the shuffled lines to a few tasks, whose memory grew with the table
+    monkeypatch.setattr(skew, "TASK_ROWS", 200)
+    star = Star(spark, "/root/testdata/sf0.001")
+    lines = star.table("lineitem").count()
+    assert star.slotless().rdd.getNumPartitions() == -(-lines // 200)
+    assert star.candidates().rdd.getNumPartitions() == -(-lines // 200)
+    assert skew.tasks_for(spark, 1) == spark.sparkContext.defaultParallelism
