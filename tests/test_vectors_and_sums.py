@@ -155,3 +155,37 @@ def test_no_cell_holds_a_whole_list(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         folds = [line for line in plan.splitlines() if "collect_list" in line]
         assert folds and all(re.search(r"Aggregate \[[^\]]*_block#", line) for line in folds)
+
+
+def _recs_and_items(spark):
+    rng = random.Random(5)
+    items = spark.createDataFrame([(k, [rng.random() - 0.5 for _ in range(20)] if k % 7 else ([0.0] * 20 if k % 2 else None)) for k in range(30)],
+                                  "item long, embedding array<float>")
+    recs = spark.createDataFrame([(k, rng.randrange(35)) for k in range(12) for _ in range(k)], "list_id long, item long")
+    history = spark.createDataFrame([(k % 5, rng.randrange(30)) for k in range(60)], "reader long, item long")
+    pairs = recs.select("list_id", (F.col("list_id") % 6).alias("reader")).distinct()
+    return recs, items, history, pairs
+
+
+def _answers(spark, **options):
+    recs, items, history, pairs = _recs_and_items(spark)
+    frames = [B.intralist_diversity(recs, items), B.intralist_diversity(recs, items, distance="euclidean", **options),
+              B.serendipity(recs, history, items, pairs=pairs, history_key="reader"),
+              B.serendipity(recs, history, items, pairs=pairs, history_key="reader", distance="euclidean", **options)]
+    return [sorted((tuple(-1.0 if x is None else round(x, 9) for x in r) for r in f.collect())) for f in frames]
+
+
+def test_lists_are_the_same_whole_cut_or_hot(spark, monkeypatch):
+    whole = _answers(spark)
+    assert _answers(spark, block=3) == whole
+    monkeypatch.setattr("slatewise.operators.skew.HOT_ROWS", 4)
+    assert _answers(spark) == whole and all(whole)
+
+
+def test_vectors_of_lists_are_shuffled_as_they_are(spark):
+    # sums combined before the shuffle, and cells shuffled again, took several times the bytes of the vectors
+    recs, items, history, pairs = _recs_and_items(spark)
+    plans = [B.intralist_diversity(recs, items), B.intralist_diversity(recs, items, distance="euclidean")]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"Exchange hashpartitioning\(list_id#\d+L?, \d+\), REPARTITION_BY_COL", plan)
