@@ -5,8 +5,10 @@ Recommendations are long rows (list_id, pos, item); item attributes are a table
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from slatewise.schema import require_columns
 
 LIST, ITEM = "list_id", "item"
 PAIR_BLOCK = 256  # vectors of one cell where pairs are formed
+PAIR_ROWS = 2048  # vectors of one cell where only the ends of all distances are asked
 
 
 def _with_attribute(recs: DataFrame, attributes: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
@@ -160,14 +163,66 @@ def _ends_of_diversity(subsets: DataFrame, attributes: DataFrame, vector: str, d
     return scored.agg(F.min("diversity").alias("lowest"), F.max("diversity").alias("highest"))
 
 
+def _ends_of_pairs(known: DataFrame, attributes: DataFrame, vector: str, distance: str) -> DataFrame:
+    """Least and greatest distance of two items: cells of some ``PAIR_ROWS`` vectors meet, each pair of them in one
+    row, and a task multiplies their matrices.  No pair of items becomes a row."""
+    rows = attributes.filter(F.col(vector).isNotNull()).join(known, ITEM, "left_semi")
+    total = rows.count()
+    cells = max(1, -(-total // PAIR_ROWS))
+    entries = vectors.unit(vector) if distance == "cosine" else F.transform(vector, lambda x: x.cast("double"))
+    dealt = rows.select(ITEM, F.pmod(F.xxhash64(ITEM), F.lit(cells)).cast("int").alias("cell"), entries.alias("v"))
+    packed = dealt.groupBy("cell").agg(F.collect_list("v").alias("vs"))
+    pairs = known.sparkSession.range(cells).select(F.col("id").cast("int").alias("i")).select(
+        "i", F.explode(F.sequence("i", F.lit(cells - 1))).alias("j"))
+    # some ten pairs of cells in a task
+    tasks = max(known.sparkSession.sparkContext.defaultParallelism, -(-cells * (cells + 1) // 20))
+    met = pairs.join(packed.toDF("i", "x"), "i").join(packed.toDF("j", "y"), "j").repartition(tasks, "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (_stacked(batch.column(c)[k].values) for c in ("x", "y"))
+                same = batch.column("i")[k] == batch.column("j")[k]
+                ends = [e for at in range(0, len(x), 256) if (e := _ends_of_block(x[at:at + 256], y, at if same else None, distance))]
+                if ends:
+                    low, high = min(e[0] for e in ends), max(e[1] for e in ends)
+                    yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([high])], ["low", "high"])
+
+    return met.mapInArrow(run, "low double, high double").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"))
+
+
+def _stacked(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _ends_of_block(x: np.ndarray, y: np.ndarray, at: int | None, distance: str) -> tuple[float, float] | None:
+    """Least and greatest distance of rows of x to rows of y; where x begins at row ``at`` of y, only to later ones."""
+    if distance == "cosine":
+        apart = 1.0 - x @ y.T
+    else:
+        apart = np.stack([np.linalg.norm(y - v, axis=1) for v in x])
+    if at is not None:
+        apart = apart[np.arange(len(y))[None, :] > at + np.arange(len(x))[:, None]]
+    return (float(apart.min()), float(apart.max())) if apart.size else None
+
+
 def candidate_diversity(candidates: DataFrame, attributes: DataFrame, n: int, vector: str = "embedding",
                         distance: str | Callable[[Column, Column], Column] = "cosine") -> DataFrame:
     """Lowest and highest diversity over all ``n``-subsets of the known candidates.
 
-    Their number is a binomial coefficient; for many candidates ask ``sampled_candidate_diversity``.
+    Their number is a binomial coefficient; for many candidates ask ``sampled_candidate_diversity``.  Pairs, whose
+    diversity is their distance, are not formed for the distances ``cosine`` and ``euclidean`` where all vectors are
+    alike: of one length, without null entries, and one for each item.
     """
-    subsets = all_subsets(_known(candidates, attributes, vector), n)
-    return _ends_of_diversity(subsets, attributes, vector, distance)
+    known = _known(candidates, attributes, vector)
+    if n == 2 and distance in ("cosine", "euclidean"):
+        chosen = attributes.select(ITEM, vector).join(known, ITEM, "left_semi")
+        size, least, most, gaps, named, rows = chosen.agg(
+            F.count_distinct(ITEM), F.min(F.size(vector)), F.max(F.size(vector)),
+            F.count_if(F.col(vector).isNull() | F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")))), F.count(ITEM), F.count(F.lit(1))).first()
+        if size >= 2 and 0 < least == most and not gaps and size == named == rows:
+            return _ends_of_pairs(known, attributes, vector, distance)
+    return _ends_of_diversity(all_subsets(known, n), attributes, vector, distance)
 
 
 def sampled_candidate_diversity(candidates: DataFrame, attributes: DataFrame, n: int, draws: int, vector: str = "embedding",

@@ -189,3 +189,15 @@ def test_vectors_of_lists_are_shuffled_as_they_are(spark):
     for df in plans:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"Exchange hashpartitioning\(list_id#\d+L?, \d+\), REPARTITION_BY_COL", plan)
+
+
+@pytest.mark.parametrize("distance", ["cosine", "euclidean"])
+def test_ends_of_pairs_form_no_subsets(spark, monkeypatch, distance):
+    rng = random.Random(3)
+    rows = [(k, [0.0] * 8 if k in (4, 9) else [rng.random() - 0.5 for _ in range(8)]) for k in range(50)]
+    items = spark.createDataFrame(rows, "item long, embedding array<float>")
+    want = B._ends_of_diversity(B.all_subsets(items.select("item"), 2), items, "embedding", distance).first()
+    monkeypatch.setattr(B, "PAIR_ROWS", 8)
+    monkeypatch.setattr(B, "all_subsets", None)  # it numbered and listed every pair
+    got = B.candidate_diversity(items.select("item"), items, 2, distance=distance).first()
+    assert [round(x, 9) for x in got] == [round(x, 9) for x in want]
