@@ -6,10 +6,11 @@ all metrics are sums over those ranks, so the rest is two map-side-combined aggr
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,17 +197,54 @@ def evaluate(long: DataFrame, metrics: Sequence[Metric], hot=DETECT, on_undefine
 def python_metric(long: DataFrame, name: str, fn: Callable, key: str = S.IMPRESSION) -> DataFrame:
     """Mean of ``fn(labels, scores)`` for a user's own callable, one call per impression.
 
-    The callable sees an impression's whole arrays; that is the interface it is written for.
+    The callable sees an impression's whole arrays; that is the interface it is written for.  A task has its
+    impressions one after the other in Arrow batches and cuts them there, without a data frame for each.
     """
     if not callable(fn):
         raise TypeError(f"not callable: {fn!r}")
 
-    def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        return pd.DataFrame({"value": [float(fn(pdf["label"].to_numpy(), pdf["score"].to_numpy()))]})
-
-    rows = long.select(key, S.POS, S.LABEL, S.SCORE).groupBy(key).applyInPandas(call, "value double")
-    return rows.agg(F.avg("value").alias("value")).select(F.lit(name).alias("metric"), "value")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, key):
+            columns = [batch.column(c) for c in (S.LABEL, S.SCORE)]
+            # a column with nulls becomes floating point, which only the impressions with a null should see
+            arrays = [None if c.null_count else c.to_numpy(zero_copy_only=False) for c in columns]
+            ends = [*_starts(batch.column(key)), batch.num_rows]
+            values = [float(fn(*[c.slice(i, j - i).to_numpy(zero_copy_only=False).copy() if x is None else x[i:j].copy() for c, x in zip(columns, arrays)]))
+                      for i, j in zip(ends, ends[1:])]
+            # a result that is not a number is no value, as in a data frame
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64(), from_pandas=True)], ["value"])
+
+    rows = long.select(key, S.POS, S.LABEL, S.SCORE).repartition(key).sortWithinPartitions(key, F.asc_nulls_last(S.POS))
+    return rows.select(key, S.LABEL, S.SCORE).mapInArrow(run, "value double").agg(F.avg("value").alias("value")).select(F.lit(name).alias("metric"), "value")
+
+
+def _starts(keys: pa.Array) -> list[int]:
+    """Where a run of equal keys begins; nulls are equal."""
+    if not len(keys):
+        return []
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that all rows of a key, which follow each other, are in one of them."""
+    held: list[pa.RecordBatch] = []  # rows of the last key so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = _starts(batch.column(key))
+        same = held and held[-1].column(key)[0].as_py() == batch.column(key)[0].as_py()
+        cuts = starts[1:] if same else starts
+        if not cuts:
+            held.append(batch)
+            continue
+        ready = [*held, batch.slice(0, cuts[-1])]
+        ready = [b for b in ready if b.num_rows]
+        if ready:
+            yield pa.concat_batches(ready)
+        held = [batch.slice(cuts[-1])]
+    if held:
+        yield pa.concat_batches(held)
 
 
 def category_coverage(long: DataFrame, categories: DataFrame, n_highest: int = 1) -> DataFrame:

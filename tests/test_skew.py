@@ -128,3 +128,26 @@ def test_tasks_of_lines_grow_with_the_lines(spark, monkeypatch):
     assert star.slotless().rdd.getNumPartitions() == -(-lines // 200)
     assert star.candidates().rdd.getNumPartitions() == -(-lines // 200)
     assert skew.tasks_for(spark, 1) == spark.sparkContext.defaultParallelism
+
+
+def test_own_metric_sees_each_impression_once_and_whole(spark):
+    # one data frame for each impression took hours on millions of them
+    data = [(k, p, (k * p) % 2, None if (k, p) == (3, 1) else p / 10) for k in range(40) for p in range(k % 9)] + [(None, 0, 1, 0.5), (None, 1, 0, 0.1)]
+    long = spark.createDataFrame(data, "impression_id long, pos long, label int, score double").repartition(5)
+
+    def own(labels, scores):
+        assert labels.dtype.kind == "i" and len(labels) == len(scores)
+        return float("nan") if (scores != scores).any() else labels.sum() * 100 + len(labels)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        value = M.python_metric(long, "own", own).first()["value"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for k, p, label, score in data:
+        groups.setdefault(k, []).append((label, score))
+    want = [sum(x for x, _ in g) * 100 + len(g) for g in groups.values() if all(s is not None for _, s in g)]
+    assert value == pytest.approx(sum(want) / len(want))
+    plan = M.python_metric(long, "own", own)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
