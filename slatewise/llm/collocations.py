@@ -10,6 +10,10 @@ part of a frequent phrase is frequent, the frequent phrases are then complete, h
 
 The proposal reaches the tasks as a bit map of a bounded size for each level.  It may let other phrases through,
 which are then counted exactly as well; it never loses one.
+
+Most phrases of the border are rare.  So the full pass is made twice: first it adds up counts by a hash of the phrase,
+packed as sorted places of some two bytes each, then only phrases whose place has a large enough sum are counted and
+shuffled as text.  All pairs of words are among the former, so that the expansion leaves out rare pairs and what holds them.  A place may hold several phrases, so its sum is no less than that of any of them.
 """
 
 from __future__ import annotations
@@ -38,6 +42,9 @@ FLUSH = 1 << 21  # words that a task codes and counts at a time
 SLAB = 1 << 22  # bytes of a text that are split at a time
 TEXTS = 500  # texts in an Arrow batch
 SALTS = 64
+PLACE_BITS = 32  # places of the counts by hash
+PART_BITS = 24  # and of those that are added up at a time, 32 MB
+GAP = 0xFFFF  # the longest step between two packed places
 
 # What ends a piece (those signs, and U+000A to U+000D) and what separates words (space, U+0009).
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -111,22 +118,14 @@ def _distinct(seq: np.ndarray, at: np.ndarray, size: int) -> tuple[list[np.ndarr
     return [key, *reversed(words)], n
 
 
-def _counted(text: _Text, levels: set[int], known: list[list[np.ndarray]], fresh: list[list[np.ndarray]] | None) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of ``levels`` whose parts are ``known`` (of level k at k - 1).
+def _spots(seq: np.ndarray, hashes: np.ndarray, levels: set[int], known: list[list[np.ndarray]],
+           fresh: list[list[np.ndarray]] | None = None, heavy: list[np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, places of ``seq``, hashes) of the phrases of two words or more of ``levels`` whose parts are ``known`` (of
+    level k at k - 1).
 
     With ``fresh``, which are known too, those that hold a fresh phrase: parts that hold one may be frequent or not, all
-    other parts must be known.
+    other parts must be known.  ``heavy`` is a bit map that has every frequent phrase of two words.
     """
-    seq = np.concatenate(text.parts)
-    names = pa.array([w for w in text.words], pa.binary())
-    seed = _seed(text.lang)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in text.words), np.uint64, len(text.words))
-    if 0 in levels:
-        yield from _rows(text.lang, pa.array([b""]), np.array([np.count_nonzero(seq > 1)]))
-    if 1 in levels:
-        n = np.bincount(seq, minlength=len(names))
-        there = np.flatnonzero(n[2:]) + 2
-        yield from _rows(text.lang, names.take(pa.array(there)), n[there])
     # at each place of seq: may the phrase that begins there be frequent, does it hold a fresh one, and its hash
     may, code = seq > 1, hashes[seq]
     at_word, inside = code, np.zeros(len(seq), bool)
@@ -140,10 +139,123 @@ def _counted(text: _Text, levels: set[int], known: list[list[np.ndarray]], fresh
             inside = holds[:-1] | holds[1:]
         else:
             inside = inside[1:]
-        if size in levels and len(at := np.flatnonzero(may_next & inside if fresh is not None else may_next)):
+        may, code = may_next, _longer(code[:-1], at_word[size - 1:])
+        if size == 2 and heavy is not None:
+            may &= _in_maps(heavy, code)
+        if size in levels and len(at := np.flatnonzero(may & inside if fresh is not None else may)):
+            yield size, at, code[at]
+
+
+def _hashes(text: _Text) -> np.ndarray:
+    seed = _seed(text.lang)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in text.words), np.uint64, len(text.words))
+
+
+def _counted(text: _Text, levels: set[int], known: list[list[np.ndarray]], fresh: list[list[np.ndarray]] | None,
+             heavy: list[np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of ``levels`` that ``_spots`` finds.
+
+    The bit map ``heavy`` has all frequent words and pairs, and all frequent phrases of those found without ``fresh``.
+    """
+    seq, hashes = np.concatenate(text.parts), _hashes(text)
+    names = pa.array([w for w in text.words], pa.binary())
+    if 0 in levels:
+        yield from _rows(text.lang, pa.array([b""]), np.array([np.count_nonzero(seq > 1)]))
+    if 1 in levels:
+        n = np.bincount(seq, minlength=len(names))
+        there = np.flatnonzero(n[2:]) + 2
+        there = there if heavy is None else there[_in_maps(heavy, hashes[there])]
+        yield from _rows(text.lang, names.take(pa.array(there)), n[there])
+    for size, at, code in _spots(seq, hashes, levels, known, fresh, heavy):
+        at = at if heavy is None or size > 2 and fresh is not None else at[_in_maps(heavy, code)]
+        if len(at):
             words, n = _distinct(seq, at, size)
             yield from _rows(text.lang, pc.binary_join_element_wise(*[names.take(pa.array(w)) for w in words], b" "), n)
-        may, code = may_next, _longer(code[:-1], at_word[size - 1:])
+
+
+PACKED = "part int, steps binary, counts binary"
+
+
+def _packed(text: _Text, levels: set[int], known: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """All words and pairs, and the longer phrases that ``_counted`` counts, as counts by place: of each part, the steps
+    from place to place."""
+    seq, hashes = np.concatenate(text.parts), _hashes(text)
+    both = np.flatnonzero((seq[:-1] > 1) & (seq[1:] > 1))
+    codes = [hashes[seq[seq > 1]], _longer(hashes[seq[both]], hashes[seq[both + 1]]), *(code for _, _, code in _spots(seq, hashes, levels, known))]
+    places, n = np.unique(np.concatenate([c.astype(np.uint32) for c in codes]), return_counts=True)  # the low PLACE_BITS
+    ends = np.searchsorted(places, np.arange(1, 1 << (PLACE_BITS - PART_BITS), dtype=np.uint32) << np.uint32(PART_BITS))
+    out = []
+    for part, (own, count) in enumerate(zip(np.split(places, ends), np.split(n, ends))):
+        if len(own):
+            own = (own & np.uint32((1 << PART_BITS) - 1)).astype(np.int64)
+            gaps = np.diff(own, prepend=0)
+            more = gaps // GAP  # whole long steps before a place; they count 0
+            steps, counts = np.full(len(own) + more.sum(), GAP, np.uint16), np.zeros(len(own) + more.sum(), np.uint16)
+            at = np.arange(len(own)) + np.cumsum(more)
+            steps[at], counts[at] = gaps % GAP, np.minimum(count, 0xFFFF)
+            out.append((part, steps.tobytes(), counts.tobytes()))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["part", "steps", "counts"])
+
+
+def _heavy_places(batches: Iterator[pa.RecordBatch], least: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(word, bits) of the bit map of the places with a sum of ``least`` or more; rows come by part."""
+    least = min(least, 0xFFFF)  # where counts stop
+    held, now = np.zeros(1 << PART_BITS, np.uint16), None
+
+    def found() -> pa.RecordBatch:
+        low = np.unique((np.flatnonzero(held >= least) + (now << PART_BITS)) & ((1 << bits) - 1))
+        words, first = np.unique(low >> 6, return_index=True)
+        marks = np.left_shift(np.uint64(1), (low & 63).astype(np.uint64))
+        marks = np.bitwise_or.reduceat(marks, first) if len(first) else marks
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(marks.view(np.int64))], ["word", "bits"])
+
+    for b in batches:
+        for part, steps, counts in zip(*(b.column(c).to_pylist() for c in ("part", "steps", "counts"))):
+            if part != now:
+                if now is not None:
+                    yield found()
+                now = part
+                held[:] = 0
+            at, n = np.cumsum(np.frombuffer(steps, np.uint16).astype(np.int64)), np.frombuffer(counts, np.uint16)
+            at, n = at[n > 0], n[n > 0]  # places differ
+            held[at] = np.minimum(held[at].astype(np.uint32) + n, 0xFFFF).astype(np.uint16)
+    if now is not None:
+        yield found()
+
+
+def _heavy(texts: DataFrame, levels: set[int], known: list[list[np.ndarray]], least: int, bits: int) -> list[np.ndarray]:
+    """A bit map of 2 ** ``bits`` that has the hash of every phrase of ``_packed`` with ``least`` occurrences or more."""
+    maps = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _flushed(batches):
+            yield from _packed(own, levels, maps.value)
+
+    # a place's bits beyond ``bits`` are dropped, so that one word of the map may come from several parts
+    dealt = texts.mapInArrow(run, PACKED).repartition("part").sortWithinPartitions("part")
+    marks = (dealt.mapInArrow(lambda b: _heavy_places(b, least, bits), "word long, bits long")
+             .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow())  # 2 ** (bits - 6) rows at most
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    maps.unpersist(blocking=True)
+    return [out]
+
+
+def _flushed(batches: Iterator[pa.RecordBatch]) -> Iterator[_Text]:
+    """The texts of the task (lang, text) by language, some ``FLUSH`` words at a time."""
+    waiting: dict[str, _Text] = {}
+    held = 0
+    for b in batches:
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
+            own = waiting.get(lang) or waiting.setdefault(lang, _Text(lang))
+            held += own.add(text.as_py())
+            if held >= FLUSH:
+                most = max(waiting.values(), key=lambda x: x.held)
+                yield most
+                held -= most.held
+                del waiting[most.lang]
+    yield from (own for own in waiting.values() if own.parts)
 
 
 def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -153,25 +265,13 @@ def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatc
 
 
 def _pass(texts: DataFrame, levels: set[int], known: list[list[np.ndarray]], keep: str,
-          fresh: list[list[np.ndarray]] | None = None) -> DataFrame:
+          fresh: list[list[np.ndarray]] | None = None, heavy: list[np.ndarray] | None = None) -> DataFrame:
     """(lang, phrase, size, n) of one pass over ``texts`` (lang, text as bytes): the summed counts that ``keep`` holds for."""
-    maps = texts.sparkSession.sparkContext.broadcast((known, fresh))  # MAP_BITS for each level at most
+    maps = texts.sparkSession.sparkContext.broadcast((known, fresh, heavy))  # MAP_BITS for each level at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, _Text] = {}
-        held = 0
-        for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
-                own = waiting.get(lang) or waiting.setdefault(lang, _Text(lang))
-                held += own.add(text.as_py())
-                if held >= FLUSH:
-                    most = max(waiting.values(), key=lambda x: x.held)
-                    yield from _counted(most, levels, *maps.value)
-                    held -= most.held
-                    del waiting[most.lang]
-        for own in waiting.values():
-            if own.parts:
-                yield from _counted(own, levels, *maps.value)
+        for own in _flushed(batches):
+            yield from _counted(own, levels, *maps.value)
 
     # a task has summed already; another sum of its few rows for a phrase would cost more than it saves
     summed = texts.mapInArrow(run, COUNTS).repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
@@ -240,14 +340,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id"
             level = _pass(drawn, {size}, known, f"n >= {few}").select("lang", "phrase", "size")
             proposed = level if proposed is None else proposed.unionByName(level)
             known = [a + b for a, b in zip(known, _map_of(level, bits))]
-        found = _pass(texts, set(range(LONGEST + 1)), known, f"n >= {least} or size = 0")
+        heavy = _heavy(texts, set(range(3, LONGEST + 1)), known, least, bits)
+        found = _pass(texts, set(range(LONGEST + 1)), known, f"n >= {least} or size = 0", None, heavy)
         failed = checkpointed(found.filter(f"size > 0 and size < {LONGEST}").join(proposed, ["lang", "phrase", "size"], "left_anti"))
         fresh = _map_of(failed, bits)
         if not any(fresh):
             return found
         # every phrase that holds a failure is counted now, so none that this finds can be part of one that is not counted
         known = [a + b for a, b in zip(known, fresh)]
-        more = _pass(texts, set(range(2, LONGEST + 1)), known, f"n >= {least}", fresh)
+        more = _pass(texts, set(range(2, LONGEST + 1)), known, f"n >= {least}", fresh, heavy)
         return checkpointed(found.unionByName(more.join(found, ["lang", "phrase", "size"], "left_anti")))
 
 

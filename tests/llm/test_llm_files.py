@@ -192,6 +192,32 @@ def test_flushes_and_slabs_change_nothing(monkeypatch):
     assert counts() == whole
 
 
+def test_rare_phrases_are_not_counted_as_text():
+    """The counts by place let all frequent phrases through and next to no others, over several flushes and gaps."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["new", "york", "city"]) if rng.random() < 0.2 else f"w{rng.randrange(5000)}" for _ in range(4000)).encode() for _ in range(5)]
+    full = [[np.full(4, np.iinfo(np.uint64).max, np.uint64)]] * 3
+    waiting, rows, plain = [], [], collections.Counter()
+    for t in texts:
+        waiting.append(collocations._Text("en"))
+        waiting[-1].add(t)
+        rows += [r for b in collocations._packed(waiting[-1], {3, 4}, full) for r in b.to_pylist()]
+        for b in collocations._counted(waiting[-1], {1, 2, 3, 4}, full, None):
+            plain.update(dict(zip(b.column("key").to_pylist(), b.column("n").to_pylist())))
+    assert all(len(r["steps"]) == len(r["counts"]) for r in rows)
+    dealt = collocations.pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["part"]))
+    bits = np.zeros(1 << (20 - 6), np.uint64)
+    for b in collocations._heavy_places(iter([dealt]), 8, 20):
+        np.bitwise_or.at(bits, b.column("word").to_numpy(), b.column("bits").to_numpy().view(np.uint64))
+    found = collections.Counter()
+    for text in waiting:
+        for b in collocations._counted(text, {1, 2, 3, 4}, full, None, [bits]):
+            found.update(dict(zip(b.column("key").to_pylist(), b.column("n").to_pylist())))
+    frequent = {p: n for p, n in plain.items() if n >= 8}
+    assert frequent and {p: n for p, n in found.items() if n >= 8} == frequent
+    assert len(found) < len(frequent) + len(plain) / 100
+
+
 def test_a_failed_border_brings_its_extensions(spark, monkeypatch):
     """A sample without any document: all phrases hold failures, and one expansion finds them."""
     docs = spark.createDataFrame([(i, "p q r s", "en", "", 0) for i in range(9)], DOC)
