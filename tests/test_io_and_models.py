@@ -77,6 +77,19 @@ def test_trees_learn_and_reload(spark, tmp_path):
     assert sorted(scored.collect()) == sorted(again.collect())
 
 
+def test_trees_compute_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(500).selectExpr("cast(id as double) as age", "cast(id % 3 = 0 as int) as label")
+    features.fit_trees(rows.mapInPandas(counted, rows.schema), trees=2, depth=2)
+    assert seen.value == 500
+
+
 def test_trees_beat_chance_on_later_days(star):
     from catalog.models import boosted_trees
 
