@@ -1,6 +1,7 @@
 """Operators that learn or approximate: language model, quality classifier, passages, and the pipeline."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -225,6 +226,47 @@ def test_one_edit_in_a_short_passage(spark):
     assert {(r["doc_id"], r["match_id"]) for r in found} == {(2 * k + 1, 2 * k) for k in range(90)}
 
 
+def test_no_link_is_lost_behind_the_first_document(spark):
+    """Of a group of seeds the first document may hold too little, or another part, of what two later ones share."""
+    rng, data = random.Random(5), []
+    words = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    put = lambda part: data.append((len(data), words(70) + part + words(70)))
+    for _ in range(25):
+        body = words(110)
+        put(body[:42])  # too little of it, in the first document
+        for at in (0, 8, 16, 24, 50):
+            put(body[at:at + 60])
+        put(body[:30] + words(1) + body[31:60])
+    line = words(60)
+    for k in range(30):  # a passage of many documents, and two that hold a part of it with other words
+        put(line)
+    tail = words(40)
+    put(line[40:] + tail), put(words(3) + line[40:] + tail)
+    for _, text in [*data[:7], data[-3]]:
+        data.append((len(data), list(text)))  # copies
+    frame = docs(spark, [(i, " ".join(text)) for i, text in data])
+    links = {(r["doc_id"], r["match_id"]) for r in passages.passage_links(frame).collect()}
+    at: dict[tuple, set] = {}
+    for i, text in data:
+        for k in range(len(text) - 49):
+            at.setdefault(tuple(text[k:k + 50]), set()).add(i)
+    shared = {(max(p), min(p)) for ids in at.values() for p in itertools.combinations(ids, 2)}
+    first = {}
+    rep = {i: first.setdefault(tuple(text), i) for i, text in data}
+    shared = {(rep[i], rep[j]) for i, j in shared if rep[i] != rep[j]}
+    shared = {(max(p), min(p)) for p in shared}
+    before = {i: {i} | {q for j, q in links if j == i} for i in rep}
+    # each is a link, or both hold the passage of an earlier document and are linked to that
+    assert [p for p in shared if p not in links and not before[p[0]] & before[p[1]]] == []
+    assert {(7 * k + 6, 7 * k + 1) for k in range(25)} <= links
+    assert {(i, j) for i, j in links if rep[i] == rep[j]} == {(i, j) for i, j in rep.items() if i != j}
+    assert len([1 for i, _ in links if 175 <= i < 207]) < 30 * 29 / 4  # the passage of many costs a few links for each
+    report = {r["doc_id"]: r for r in passages.passage_report(frame).collect()}
+    ends = collections.Counter(i for p in links if rep[p[0]] != rep[p[1]] for i in p)
+    assert {i: r["n_links"] for i, r in report.items() if r["n_links"]} == dict(ends)
+    assert {i: r["class_id"] for i, r in report.items()} == {i: rep[i] for i in report}
+
+
 def test_passages_of_odd_tables(spark):
     text = " ".join(f"w{k}" for k in range(60))
     base = spark.createDataFrame([(None, text), (1, text), (1, text), (2, text[:20])], "doc_id long, text string")
