@@ -90,6 +90,21 @@ def test_trees_compute_their_rows_once(spark):
     assert seen.value == 500
 
 
+def test_spark_trees_have_the_full_setting(spark, star, monkeypatch):
+    import __spark_entry__ as entry
+
+    class Stopped(Exception):
+        pass
+
+    def seen(**options):
+        raise Stopped(options["maxIter"], options["maxDepth"])
+
+    monkeypatch.setattr(features, "GBTClassifier", seen)
+    with pytest.raises(Stopped) as stop:
+        entry.queries()["fea_4_spark_trees"](spark, star.folder)
+    assert stop.value.args == (300, 6)
+
+
 def test_trees_beat_chance_on_later_days(star):
     from catalog.models import boosted_trees
 
