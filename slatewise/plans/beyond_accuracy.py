@@ -5,6 +5,7 @@ Recommendations are long rows (list_id, pos, item); item attributes are a table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -20,7 +21,7 @@ from slatewise.session import checkpointed
 
 LIST, ITEM = "list_id", "item"
 PAIR_BLOCK = 256  # vectors of one cell where pairs are formed
-PAIR_ROWS = 2048  # vectors of one cell where only the ends of all distances are asked
+PAIR_ROWS, PAIR_BYTES = 1 << 15, 1 << 24  # vectors of one cell where only the ends of all distances are asked, and their bytes as doubles
 
 
 def _with_attribute(recs: DataFrame, attributes: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
@@ -166,26 +167,32 @@ def _ends_of_diversity(subsets: DataFrame, attributes: DataFrame, vector: str, d
 
 
 def _ends_of_pairs(known: DataFrame, attributes: DataFrame, vector: str, distance: str) -> DataFrame:
-    """Least and greatest distance of two items: cells of some ``PAIR_ROWS`` vectors meet, each pair of them in one
-    row, and a task multiplies their matrices.  No pair of items becomes a row."""
+    """Least and greatest distance of two items: cells of up to ``PAIR_ROWS`` vectors meet, each pair of them in one
+    task, which multiplies their matrices.  No pair of items becomes a row, and a vector is sent, as it is, once to each cell."""
     rows = attributes.filter(F.col(vector).isNotNull()).join(known, ITEM, "left_semi")
-    total = rows.count()
-    cells = max(1, -(-total // PAIR_ROWS))
-    entries = vectors.unit(vector) if distance == "cosine" else F.transform(vector, lambda x: x.cast("double"))
-    dealt = rows.select(ITEM, F.pmod(F.xxhash64(ITEM), F.lit(cells)).cast("int").alias("cell"), entries.alias("v"))
+    spark = known.sparkSession
+    total, width = rows.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    # large cells send less; few items are cut into more of them, so that all cores have a pair
+    cores = spark.sparkContext.defaultParallelism
+    size = min(PAIR_ROWS, max(256, PAIR_BYTES // (8 * width)), max(2048, math.ceil(total / (2 * math.sqrt(cores)))))
+    cells = max(1, -(-total // size))
+    dealt = rows.select(F.pmod(F.xxhash64(ITEM), F.lit(cells)).cast("int").alias("cell"), F.col(vector).alias("v"))
     packed = dealt.groupBy("cell").agg(F.collect_list("v").alias("vs"))
-    pairs = known.sparkSession.range(cells).select(F.col("id").cast("int").alias("i")).select(
-        "i", F.explode(F.sequence("i", F.lit(cells - 1))).alias("j"))
-    # some ten pairs of cells in a task
-    tasks = max(known.sparkSession.sparkContext.defaultParallelism, -(-cells * (cells + 1) // 20))
-    met = pairs.join(packed.toDF("i", "x"), "i").join(packed.toDF("j", "y"), "j").repartition(tasks, "i", "j")
+    meet = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda k: F.struct(F.least("cell", k).alias("i"), F.greatest("cell", k).alias("j")))
+    met = packed.select(F.explode(meet).alias("p"), "cell", "vs").select("p.i", "p.j", "cell", "vs")
+    met = met.repartition(max(cores, cells * (cells + 1) // 2), "i", "j").sortWithinPartitions("i", "j", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = x = None
         for batch in batches:
             for k in range(batch.num_rows):
-                x, y = (_stacked(batch.column(c)[k].values) for c in ("x", "y"))
-                same = batch.column("i")[k] == batch.column("j")[k]
-                ends = [e for at in range(0, len(x), 256) if (e := _ends_of_block(x[at:at + 256], y, at if same else None, distance))]
+                i, j, cell = (batch.column(c)[k].as_py() for c in ("i", "j", "cell"))
+                y = _stacked(batch.column("vs")[k].values, distance)
+                if cell == i:
+                    now, x = (i, j), y
+                if cell != j or now != (i, j):  # the other cell has no vectors or is yet to come
+                    continue
+                ends = [e for at in range(0, len(x), 64) if (e := _ends_of_block(x[at:at + 64], y, at if i == j else None, distance))]
                 if ends:
                     low, high = min(e[0] for e in ends), max(e[1] for e in ends)
                     yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([high])], ["low", "high"])
@@ -193,8 +200,13 @@ def _ends_of_pairs(known: DataFrame, attributes: DataFrame, vector: str, distanc
     return met.mapInArrow(run, "low double, high double").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"))
 
 
-def _stacked(lists: pa.ListArray) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+def _stacked(lists: pa.ListArray, distance: str) -> np.ndarray:
+    """The vectors as rows; for the cosine of length one, a zero vector stays zero."""
+    rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    if distance != "cosine":
+        return rows
+    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
 def _ends_of_block(x: np.ndarray, y: np.ndarray, at: int | None, distance: str) -> tuple[float, float] | None:

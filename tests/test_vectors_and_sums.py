@@ -201,3 +201,10 @@ def test_ends_of_pairs_form_no_subsets(spark, monkeypatch, distance):
     monkeypatch.setattr(B, "all_subsets", None)  # it numbered and listed every pair
     got = B.candidate_diversity(items.select("item"), items, 2, distance=distance).first()
     assert [round(x, 9) for x in got] == [round(x, 9) for x in want]
+
+
+def test_cells_of_vectors_meet_without_a_join(spark):
+    items = spark.range(40).selectExpr("id as item", "array(cast(id as float), cast(1 as float)) as embedding")
+    plan = B._ends_of_pairs(items.select("item"), items, "embedding", "cosine")._jdf.queryExecution().optimizedPlan().toString()
+    # that of the known items only; cells were joined twice, as doubles, each copy sent again
+    assert plan.count("Join ") == 1 and "array<double>" not in plan and "cast(lambda" not in plan
